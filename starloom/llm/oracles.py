@@ -63,8 +63,8 @@ s as (select distinct doc_id, array_to_string(w[i:i + 4], chr(10)) s from (selec
 n as (select doc_id, count(*) n from s group by doc_id),
 pairs as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
 links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
-both as (select a, b from links union all select b, a from links),
-reach(doc_id, r) as (select doc_id, doc_id from w union select doc_id, b from reach join both on a = r),
+sides as (select a, b from links union all select b, a from links),
+reach(doc_id, r) as (select doc_id, doc_id from w union select doc_id, b from reach join sides on a = r),
 comp as (select doc_id, min(r) component_id from reach group by doc_id)
 select doc_id, cast(coalesce(n, 0) as bigint) n_shingles, component_id, doc_id = component_id kept from comp left join n using (doc_id)
 """

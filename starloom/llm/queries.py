@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kneser_ney, langid, licenses, line_dedup, packing, quality, rans
+from . import decontaminate, kneser_ney, langid, licenses, line_dedup, minhash, packing, quality, rans
 from .common import documents, scratch, table
 
 
@@ -49,6 +49,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     profiles = langid.learn(docs.where(~held_out(3)))
@@ -59,4 +63,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_rans_ids, op3_quality, op4_kneser_ney, op6_licenses, op7_line_dedup, op9_langid, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_rans_ids, op3_quality, op4_kneser_ney, op6_licenses, op7_line_dedup, op8_minhash, op9_langid, op10_packing)}
