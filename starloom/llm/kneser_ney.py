@@ -27,10 +27,6 @@ row every token is unknown: V = N = 0, and score and base are those of the unifo
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import urllib.parse
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import Lookup, pack, save, shard_edges, summed, unpack
 from .common import discard, kept, mix64, release, scratch, slices, small_batches
 
 BLOCKS = "kind string, ord int, shard int, a binary, b binary, n binary"
@@ -88,29 +85,9 @@ def key_of(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     return mix64(context * np.uint64(3) + mix64(suffix))
 
 
-def pack(values: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def unpack(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    return out.reshape(-1).view("<u8").astype(np.uint64)
-
-
-def summed(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, an index of each, and its summed weight (or number)."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    n = np.diff(np.append(first, len(k))) if weights is None else np.add.reduceat(weights[order], first) if len(k) else np.zeros(0, np.int64)
-    return k[first], order[first], n
-
-
 def _rows(kind: str, order: int, shards: int, route: np.ndarray, bits: int, a: tuple[np.ndarray, int], b: tuple[np.ndarray, int] | None, n: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Blocks by shard: the first bits of `route` (a `bits`-bit number, ascending)."""
-    edges = np.searchsorted(route, np.arange(shards + 1, dtype=np.uint64) << np.uint64(bits - (shards.bit_length() - 1))) if shards > 1 else np.array([0, len(route)])
-    edges[-1] = len(route)
+    edges = shard_edges(route, shards, bits)
     for shard in range(shards):
         i, j = int(edges[shard]), int(edges[shard + 1])
         if i < j:
@@ -145,48 +122,6 @@ def _count(order: int, shards: int, width: int, flush: int):
     return run
 
 
-# ---- the shared files
-
-def local_path(uri: str) -> str | None:
-    """A mounted folder's path, or None if the uri is of another store."""
-    at = urllib.parse.urlparse(uri)
-    return urllib.parse.unquote(at.path) if at.scheme in ("", "file") else None
-
-
-def save(folder: str, name: str, values: np.ndarray) -> None:
-    """Writes an array whole or not at all, so a task that runs twice does no harm."""
-    data = np.ascontiguousarray(values)
-    if (at := local_path(folder)) is not None:
-        os.makedirs(at, exist_ok=True)
-        own = f"{at}/.{name}.{uuid.uuid4().hex}"
-        data.tofile(own)
-        os.replace(own, f"{at}/{name}")
-        return
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(folder)
-    with store.open_output_stream(f"{root}/{name}") as f:
-        f.write(memoryview(data).cast("B"))
-
-
-def mapped(folder: str, name: str, kind: str, held: dict[str, str]) -> np.ndarray:
-    """The array, mapped into memory; empty if there is none."""
-    at = local_path(folder)
-    if at is None:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
-        if "dir" not in held:
-            held["dir"] = tempfile.mkdtemp()
-        at = held["dir"]
-        if not os.path.exists(f"{at}/{name}") and store.get_file_info(f"{root}/{name}").type == fs.FileType.File:
-            fs.copy_files(f"{root}/{name}", f"{at}/{name}", source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
-    path = f"{at}/{name}"
-    if not os.path.exists(path) or not os.path.getsize(path):
-        return np.zeros(0, kind)
-    return np.memmap(path, kind, "r")
-
-
 # ---- merging
 
 def _parts(tables: pa.Table, kind: str) -> list[tuple[bytes, bytes, bytes]]:
@@ -342,32 +277,6 @@ def train(docs: DataFrame, order: int = 2, shards: int | None = None, key_bytes:
     return Model(folder, order, shards, key_bytes, d, kinds, tokens, lefts, gamma)
 
 
-class Lookup:
-    """Sorted arrays cut into shards by the keys' first bits."""
-
-    def __init__(self, folder: str, stem: str, shards: int, bits: int, values: dict[str, str]) -> None:
-        held: dict[str, str] = {}
-        self.keys = [mapped(folder, f"{stem}.{s}.key", "<u8", held) for s in range(shards)]
-        self.values = {v: [mapped(folder, f"{stem}.{s}.{v}", kind, held) for s in range(shards)] for v, kind in values.items()}
-        self.shards, self.bits = shards, bits
-
-    def __call__(self, keys: np.ndarray, default: dict[str, float]) -> dict[str, np.ndarray]:
-        """The values of each key, or the defaults where it is missing."""
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        out = {v: np.full(len(distinct), default[v], np.float64) for v in self.values}
-        edges = np.searchsorted(distinct, np.arange(self.shards, dtype=np.uint64) << np.uint64(self.bits - (self.shards.bit_length() - 1)))
-        edges = np.append(edges, len(distinct))
-        for s, own in enumerate(self.keys):
-            i, j = edges[s], edges[s + 1]
-            if i == j or not len(own):
-                continue
-            at = np.minimum(np.searchsorted(own, distinct[i:j]), len(own) - 1)
-            hit = own[at] == distinct[i:j]
-            for v, arrays in self.values.items():
-                out[v][i:j][hit] = arrays[s][at[hit]]
-        return {v: x[inverse] for v, x in out.items()}
-
-
 class Scorer:
     def __init__(self, m: Model) -> None:
         self.m, self.known = m, WordHashes()

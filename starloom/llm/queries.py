@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kneser_ney, langid, licenses, line_dedup, minhash, packing, quality, rans
+from . import decontaminate, kneser_ney, langid, licenses, line_dedup, minhash, packing, quality, rans, suffix_dedup
 from .common import documents, scratch, table
 
 
@@ -40,6 +40,11 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(docs, model).select("doc_id", held_out(5).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir), licenses.known_licenses(spark))
 
@@ -63,4 +68,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_rans_ids, op3_quality, op4_kneser_ney, op6_licenses, op7_line_dedup, op8_minhash, op9_langid, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_rans_ids, op3_quality, op4_kneser_ney, op5_suffix_dedup, op6_licenses, op7_line_dedup, op8_minhash, op9_langid, op10_packing)}
