@@ -7,6 +7,9 @@ their `str` counterparts follow Unicode.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -64,11 +67,23 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def lean(run):
+    """A batch function that returns freed memory to the system when its task ends; workers live on between tasks."""
+
+    @functools.wraps(run)
+    def call(batches):
+        yield from run(batches)
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return call
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """The batch in runs of whole rows with at most so many bytes of text each (a longer single text stands alone)."""
     texts = as_bytes(batch.column(column))
     at = size = 0
@@ -108,6 +123,13 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def shards_for(df: DataFrame, shard_bytes: int, least: int = 4) -> int:
+    """A power of two: one shard for so many bytes of a table, as Spark estimates its size; at most four for each shuffle partition."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = max(least, 4 * bounded_partitions(df.sparkSession))
+    return 1 << (min(max(least, -(-size // shard_bytes)), most) - 1).bit_length()
+
+
 def bounded_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
