@@ -10,10 +10,13 @@ each; at similarity 0.85 all 32 bands of 5 miss a pair once in 10**8, at 0.8 thr
 
 Classes. Documents with one and the same set form a class, found by a fingerprint of the set before anything is
 paired; its smallest doc_id stands for it. Within a bucket no list of all pairs is made: every member is held
-against one centre, links give components, and only members of different components are looked at again,
-against further centres drawn by hash. When what is left is small (at most `rest` pairs a bucket row), or after
-`rounds` rounds, the remaining pairs of different components are held against each other; so no pair that
-shares a bucket stays untested unless its members are already in one component.
+against one centre, the one that shares most buckets (the original of many copies, as a rule); links give
+components, and only members of different components are looked at again, `rounds` times in all, against the
+best of those that are not in the first centre's component. What then still shares a bucket with another
+component is paired exactly, however similar or not: of two sets similar enough, the rarest shingles (as many as the
+threshold lets one set have alone, and one more) have one in common, so only documents that share a rare
+shingle meet. A passage that thousands of documents hold is not rare and pairs nobody. No link between members of different
+components that share a bucket is lost.
 
 Plan. One scan makes counts, fingerprints and bands. Texts of candidates are read in a second scan (their ids are
 broadcast while they are at most `most_broadcast_ids`, joined by a shuffle beyond). Components are found by
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, discard, kept, mix64, scratch, slices, small_batches
+from .common import as_bytes, discard, kept, lean, mix64, scratch, slices, small_batches
 
 SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
 
@@ -45,7 +48,7 @@ class Words(dict):
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
-    def of(self, words: list[bytes], most: int = 500_000) -> np.ndarray:
+    def of(self, words: list[bytes], most: int = 200_000) -> np.ndarray:
         if len(self) > most:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
@@ -123,6 +126,47 @@ def _signer(size: int, bands: int, rows: int):
     return run
 
 
+def _listed(size: int):
+    """Texts to their shingles; `print` tells texts of one doc_id apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            for part, texts in slices(batch, "text", 1 << 20):
+                sets = sets_of(texts, words, size)
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                prints = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("component"), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["rep", "component", "print", "size", "shingles"])
+
+    return run
+
+
+def rare_pairs(open_texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Pairs a < b of different components (rows rep, component, text) that may reach the threshold: those that share one of their rarest shingles.
+
+    A set of n shingles needs ceil(percent n / 100) of them in common with another, so one at least of any n + 1 - that many.
+    Shingles are ordered by how many of these texts hold them; those held by one text alone come first, pair with none,
+    and bound what a text can have in common with any other.
+    """
+    rows = open_texts.select("rep", "component", "text").mapInArrow(lean(_listed(shingle)), "rep long, component long, print long, size long, shingles array<long>").where("size > 0")
+    flat = rows.select("rep", "component", "print", "size", F.explode("shingles").alias("s"))
+    shared = flat.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    lists = flat.join(shared, "s").groupBy("rep", "component", "print", "size").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("l"))
+    need = lambda n: F.floor((percent * n + 99) / 100)  # noqa: E731  of n in common with a larger set
+    need_of_both = lambda n: F.floor((percent * n + 99 + percent) / (100 + percent))  # noqa: E731  in common of two sets with n together
+    own = F.col("size") - F.size("l")
+    places = F.greatest(F.col("size") + 1 - need(F.col("size")) - own, F.lit(0)).cast("int")
+    heads = lists.select("rep", "component", "size", F.size("l").alias("met"), own.alias("own"), F.posexplode(F.slice("l", 1, places)).alias("i", "h"))
+    heads = heads.select("rep", "component", "size", "met", "h.s", (F.col("own") + F.col("i") + 1).alias("place"))
+    x, y = (heads.select("s", *[F.col(c).alias(f"{side}_{c}") for c in ("rep", "size", "component", "met", "place")]) for side in "xy")
+    y = y.where(F.col("y_place") <= F.col("y_size") + 1 - need_of_both(2 * F.col("y_size")))  # the smaller set needs fewer places
+    smaller = (F.col("x_size") > F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("x_rep") < F.col("y_rep")))
+    needed = need_of_both(F.col("x_size") + F.col("y_size"))
+    # at the first shingle in common: no more can be in common than follow it in either, or than either shares with any text
+    most = F.least("x_met", "y_met", F.col("x_size") - F.col("x_place") + 1, F.col("y_size") - F.col("y_place") + 1)
+    return x.join(y, "s").where(smaller & (F.col("x_component") != F.col("y_component")) & (most >= needed)).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
+
+
 def _checker(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -170,19 +214,23 @@ def _texts(docs: DataFrame, ids: DataFrame, most_broadcast_ids: int) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, bands: int = 32, rows: int = 5, rounds: int = 4, rest: int = 2, most_broadcast_ids: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, bands: int = 32, rows: int = 5, rounds: int = 2, most_broadcast_ids: int = 2_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id it is linked with, itself included), n_links (links found in its class's rounds), kept."""
     spark = docs.sparkSession
     small_batches(spark)
     signed_at = scratch(spark, "signatures")
-    signed = kept(docs.select("doc_id", "text").mapInArrow(_signer(shingle, bands, rows), SIGNED), signed_at)
+    signed = kept(docs.select("doc_id", "text").mapInArrow(lean(_signer(shingle, bands, rows)), SIGNED), signed_at)
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes_at = scratch(spark, "classes")
-    classes = kept(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), classes_at)
-    spread = classes.select("rep", F.explode("bands").alias("key"))
-    full = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members_at = scratch(spark, "buckets")
-    members = kept(spread.join(full, "key"), members_at)
+    classes = kept(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), classes_at)
+    spread = classes.select("rep", "size", F.explode("bands").alias("key"))
+    full = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared_at, members_at = scratch(spark, "shared"), scratch(spark, "buckets")
+    shared = kept(spread.join(full, "key"), shared_at)
+    members = kept(shared.drop("n").join(shared.groupBy("rep").agg(F.sum("n").alias("degree")), "rep"), members_at)
+    discard(spark, shared_at)
+    best = lambda what: F.max_by(what, F.struct("degree", -F.col("rep")))
+    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sets of such sizes can be similar enough
     texts_at = scratch(spark, "texts")
     texts = kept(_texts(docs, members.select(F.col("rep").alias("doc_id")).distinct(), most_broadcast_ids), texts_at)
 
@@ -203,7 +251,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, bands:
         with_b = new.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         with_both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         links_at.append(scratch(spark, "found"))
-        kept(with_both.select("a", "b", "text_a", "text_b").mapInArrow(_checker(shingle, percent), shape), links_at[-1])
+        kept(with_both.select("a", "b", "text_a", "text_b").mapInArrow(lean(_checker(shingle, percent)), shape), links_at[-1])
 
     def same_class_links() -> DataFrame:
         """Rows that share a doc_id may lie in several classes."""
@@ -217,29 +265,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, bands:
         if turn:
             component_at.append(scratch(spark, "components"))
             component = kept(components(read(links_at)), component_at[-1])
-            placed = members.join(component.withColumnRenamed("doc_id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-            per = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-            mixed = per.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("squares")).where("c > 1")
+            placed = members.join(component.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
             open_at = scratch(spark, "open")
             opened = kept(placed.join(mixed, "key"), open_at)
-            size = mixed.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("squares")) / 2)).first()
-            if not size[0]:
-                discard(spark, open_at)
-                break
-            last = size[1] <= rest * size[0] or turn == rounds
-            if last:
-                x = opened.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-                y = opened.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-                check(x.join(y, "key").where("a < b and ca <> cb"))
-            else:
-                centre = opened.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("c"))
-                check(opened.join(centre, "key").where("c.component <> component").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")))
+            some_left = bool(opened.head(1))
+            if some_left and turn == rounds:
+                left = opened.select(F.col("rep").alias("doc_id"), "component").distinct()
+                check(rare_pairs(texts.join(left, "doc_id").withColumnRenamed("doc_id", "rep"), percent, shingle))
+            elif some_left:
+                first = opened.groupBy("key").agg(best(F.col("component")).alias("done"))
+                others = opened.join(first, "key").where("component <> done")
+                centre = others.groupBy("key").agg(best(F.struct(F.col("rep").alias("c_rep"), F.col("size").alias("c_size"), F.col("component").alias("c_component"))).alias("c")).select("key", "c.*")
+                check(opened.join(centre, "key").where((F.col("c_component") != F.col("component")) & alike(F.col("size"), F.col("c_size"))).select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")))
             discard(spark, open_at)
-            if last:
+            if not some_left:
                 break
         else:
-            centre = members.groupBy("key").agg(F.min("rep").alias("a"))
-            check(members.join(centre, "key").where("a < rep").select("a", F.col("rep").alias("b")))
+            centre = members.groupBy("key").agg(best(F.struct(F.col("rep").alias("c_rep"), F.col("size").alias("c_size"))).alias("c")).select("key", "c.*")
+            check(members.join(centre, "key").where((F.col("rep") != F.col("c_rep")) & alike(F.col("size"), F.col("c_size"))).select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")))
 
     found = read(links_at)
     component = kept(components(found.unionAll(twice)), scratch(spark, "components"))
