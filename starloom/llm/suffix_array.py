@@ -125,7 +125,10 @@ def _words(text: np.ndarray) -> np.ndarray:
 def _refine(rank: np.ndarray, active: np.ndarray, key: np.ndarray) -> None:
     """Splits groups of equal rank by key, in place. active: all members of the groups concerned; a rank is the number of members before its group."""
     r = rank[active]
-    order = np.lexsort((key, r)) if key.dtype != np.int64 else np.argsort(r.astype(np.uint64) << np.uint64(32) | (key + 1).astype(np.uint64), kind="stable")
+    if key.dtype == np.int64:  # ranks and keys of 32 bits: one number
+        order = np.argsort(r.astype(np.uint64) << np.uint64(32) | (key + 1).astype(np.uint64))
+    else:
+        order = np.lexsort((key, r)) if r.any() else np.argsort(key)
     r, k, who = r[order], key[order], active[order]
     place = np.arange(len(who))
     group = np.concatenate([[True], r[1:] != r[:-1]])
@@ -179,7 +182,7 @@ def sorted_stars(text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         later = active + names
         _refine(rank, active, np.where(later < m, rank[np.minimum(later, m - 1)], -1))
         names *= 2
-    order = at[np.argsort(rank, kind="stable")]
+    order = at[np.argsort(rank)]
     lcp = np.zeros(m, np.int64)
     live = np.arange(1, m)
     for j in range(0, DEPTH + 8, 8):

@@ -33,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Lookup, pack, save, shard_edges, summed, unpack
-from .common import as_bytes, discard, kept, mix64, release, scratch, slices, small_batches
+from .common import as_bytes, discard, kept, lean, mix64, release, scratch, shards_for, slices, small_batches
 from .suffix_array import BREAK, buckets
 
 COUNTED = "shard int, keys binary, n binary"
 RUNS = "shard int, docs binary, prints binary, starts binary, sizes binary, data binary, spans binary"
+BLOCK = 1 << 15  # keys in a row: rows are small, as an Arrow batch holds many
 LAST = (1 << 63) - 1  # stands for a null doc_id
 SPAN = np.dtype([("doc", "<i8"), ("print", "<i8"), ("start", "<i8"), ("end", "<i8")])
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -58,7 +59,7 @@ def representatives(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarra
     n = len(data)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    power, inverse = _powers(1 << max(22, (n - 1).bit_length()))
+    power, inverse = _powers(1 << max(20, (n - 1).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(data.astype(np.uint64) * power[:n], out=sums[1:])
     hashes = mix64((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
@@ -97,7 +98,7 @@ def window_runs(texts: list[bytes | None], length: int, gram: int) -> tuple[byte
     return raw, owner, first, last, hashes[low[first]]
 
 
-def _counter(length: int, gram: int, shards: int, flush: int = 2_000_000):
+def _counter(length: int, gram: int, shards: int, flush: int = 1_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -107,12 +108,12 @@ def _counter(length: int, gram: int, shards: int, flush: int = 2_000_000):
             edges = shard_edges(keys, shards)
             n = np.minimum(n, 255).astype(np.uint8)
             for s in range(shards):
-                i, j = int(edges[s]), int(edges[s + 1])
-                if i < j:
+                for i in range(int(edges[s]), int(edges[s + 1]), BLOCK):
+                    j = min(i + BLOCK, int(edges[s + 1]))
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(keys[i:j], 8)]), pa.array([n[i:j].tobytes()])], ["shard", "keys", "n"])
 
         for batch in batches:
-            for _, texts in slices(batch, "text", 2 << 20):
+            for _, texts in slices(batch, "text", 512 << 10):
                 held.append(window_runs(texts, length, gram)[4])
                 size += len(held[-1])
                 if size >= flush:
@@ -158,15 +159,18 @@ def _cutter(length: int, gram: int, folder: str, key_shards: int, shards: int, f
             same.clear()
             spans = np.array(later, np.int64).reshape(-1, 4)
             for s, own in enumerate(held):
-                if own:
-                    docs, prints, starts = zip(*((d, p, i) for d, i, p in own.values()), strict=True)
-                    yield _row(s, docs, prints, starts, list(own), spans)
+                runs, places = list(own), list(own.values())
+                ends = np.cumsum([len(r) for r in runs])
+                cuts = [0, *np.flatnonzero(ends[1:] // (8 * BLOCK) > ends[:-1] // (8 * BLOCK)) + 1, len(runs)] if runs else []
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    docs, starts, prints = zip(*places[i:j], strict=True)
+                    yield _row(s, docs, prints, starts, runs[i:j], spans)
                     spans = spans[:0]
-                    own.clear()
+                own.clear()
             later, size = [], 0
 
         for batch in batches:
-            for rows, texts in slices(batch, "text", 2 << 20):
+            for rows, texts in slices(batch, "text", 512 << 10):
                 raw, owner, first, last, keys = window_runs(texts, length, gram)
                 some = np.flatnonzero(repeated.has(keys)) if len(keys) else keys.astype(np.int64)
                 if not len(some):
@@ -302,15 +306,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, shard_byt
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("print"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    key_shards = 1 << max(4, math.ceil(math.log2(parts)))
+    key_shards = shards_for(docs, 2 * shard_bytes)
     folder = scratch(spark, "repeated-grams")
-    counted = rows.select("text").mapInArrow(_counter(length, gram, key_shards), COUNTED).groupBy("shard").applyInArrow(_repeated(folder), "distinct long, runs long")
+    counted = rows.select("text").mapInArrow(lean(_counter(length, gram, key_shards)), COUNTED).groupBy("shard").applyInArrow(_repeated(folder), "distinct long, runs long")
     runs = counted.agg(F.sum("runs")).first()[0] or 0
     del counted
     release(spark)
     shards = max(1, math.ceil(runs * (length + (length - gram) // 2) / shard_bytes))
-    cut = rows.mapInArrow(_cutter(length, gram, folder, key_shards, shards), RUNS)
+    cut = rows.mapInArrow(lean(_cutter(length, gram, folder, key_shards, shards)), RUNS)
     spans_at = scratch(spark, "spans")
     spans = kept(cut.groupBy("shard").applyInArrow(_sorter(length, queue_items), "doc long, print long, begin long, stop long"), spans_at)
     del cut
@@ -319,4 +322,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, shard_byt
     # a document's spans are at most as many as its bytes
     per = spans.groupBy("doc", "print").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
     both = rows.join(per, (F.coalesce("doc_id", F.lit(LAST)) == F.col("doc")) & (rows["print"] == per["print"]), "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(_remover(["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.mapInArrow(lean(_remover(["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
