@@ -26,7 +26,6 @@ row every token is unknown: V = N = 0, and score and base are those of the unifo
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import Lookup, pack, save, shard_edges, summed, unpack
-from .common import discard, kept, mix64, release, scratch, slices, small_batches
+from .common import discard, kept, lean, mix64, release, scratch, shards_for, slices, small_batches
 
 BLOCKS = "kind string, ord int, shard int, a binary, b binary, n binary"
 NAMES = ["kind", "ord", "shard", "a", "b", "n"]
+BLOCK = 1 << 15  # n-grams in a row: rows are small, as an Arrow batch holds many
+FULL = 255
 END, BEGIN = xxhash.xxh3_64_intdigest(b"end", 1), xxhash.xxh3_64_intdigest(b"begin", 2)
 
 
@@ -49,7 +50,7 @@ class WordHashes(dict):
         return h
 
 
-def token_hashes(texts: list[bytes | None], known: WordHashes, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+def token_hashes(texts: list[bytes | None], known: WordHashes, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """The tokens' hashes in order, and each text's number of tokens."""
     if len(known) > most:
         known.clear()
@@ -89,8 +90,8 @@ def _rows(kind: str, order: int, shards: int, route: np.ndarray, bits: int, a: t
     """Blocks by shard: the first bits of `route` (a `bits`-bit number, ascending)."""
     edges = shard_edges(route, shards, bits)
     for shard in range(shards):
-        i, j = int(edges[shard]), int(edges[shard + 1])
-        if i < j:
+        for i in range(int(edges[shard]), int(edges[shard + 1]), BLOCK):
+            j = min(i + BLOCK, int(edges[shard + 1]))
             row = [kind, order, shard, pack(a[0][i:j], a[1]), pack(b[0][i:j], b[1]) if b else b"", b"".join(x[i:j].astype("<u4").tobytes() for x in n)]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], NAMES)
 
@@ -110,7 +111,7 @@ def _count(order: int, shards: int, width: int, flush: int):
                 yield from _rows("raw", k, shards, keys, 64, (context[at], width), (suffix[at], width), [n])
 
         for batch in batches:
-            for _, texts in slices(batch, "text", 4 << 20):
+            for _, texts in slices(batch, "text"):
                 held.append(token_hashes(texts, known))
                 size += len(held[-1][0])
                 if size >= flush:
@@ -139,7 +140,10 @@ def _small(kind: str, order: int, shard: int, values: np.ndarray) -> pa.RecordBa
 def _finish(folder: str, order: int, top: int, shards: int, width: int, shard: int, context: np.ndarray, suffix: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A shard's n-grams (ascending keys, adjusted counts): its files, partial sums by context and by suffix, counts of counts."""
     save(folder, f"gram{order}.{shard}.key", keys.astype("<u8"))
-    save(folder, f"gram{order}.{shard}.n", np.minimum(counts, 2**32 - 1).astype("<u4"))
+    save(folder, f"gram{order}.{shard}.n", np.minimum(counts, FULL).astype("u1"))
+    many = counts >= FULL  # few n-grams are met so often: their counts stand in files of their own
+    save(folder, f"many{order}.{shard}.key", keys[many].astype("<u8"))
+    save(folder, f"many{order}.{shard}.n", counts[many].astype("<u8"))
     bits = 8 * width
     own, _, _ = summed(context)
     which = np.searchsorted(own, context)
@@ -245,16 +249,18 @@ class Model:
         self.kinds, self.tokens, self.lefts, self.gamma = kinds, tokens, lefts, gamma
 
 
-def train(docs: DataFrame, order: int = 2, shards: int | None = None, key_bytes: int = 5, flush: int = 3_000_000) -> Model:
-    """Counts the texts of docs. order: 2 or 3. shards: a power of two; by default four times the shuffle partitions."""
+def train(docs: DataFrame, order: int = 2, shards: int | None = None, key_bytes: int = 5, flush: int = 3_000_000, shard_bytes: int = 16 << 20) -> Model:
+    """Counts the texts of docs. order: 2 or 3. shards: a power of two; by default one for so many bytes of input, as Spark estimates it.
+
+    Each shard sends every other one what it has found of its contexts and suffixes, so shards should be no more than memory asks for.
+    """
     if order not in (2, 3):
         raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    shards = shards or 1 << max(4, math.ceil(math.log2(2 * parts)))
+    shards = shards or shards_for(docs, shard_bytes)
     folder = scratch(spark, "kneser-ney")
-    counted = docs.select("text").mapInArrow(_count(order, shards, key_bytes, flush), BLOCKS)
+    counted = docs.select("text").mapInArrow(lean(_count(order, shards, key_bytes, flush)), BLOCKS)
     paths = [scratch(spark, "ngrams")]
     rows = kept(counted.groupBy("ord", "shard").applyInArrow(_merge_raw(folder, order, shards, key_bytes), BLOCKS), paths[0])
     del counted
@@ -281,7 +287,8 @@ class Scorer:
     def __init__(self, m: Model) -> None:
         self.m, self.known = m, WordHashes()
         self.words = Lookup(m.folder, "word", m.shards, 64, {"count": "<u8", "n": "<u4"})
-        self.grams = {k: Lookup(m.folder, f"gram{k}", m.shards, 64, {"n": "<u4"}) for k in range(2, m.order + 1)}
+        self.grams = {k: Lookup(m.folder, f"gram{k}", m.shards, 64, {"n": "u1"}) for k in range(2, m.order + 1)}
+        self.many = {k: Lookup(m.folder, f"many{k}", m.shards, 64, {"n": "<u8"}) for k in range(2, m.order + 1)}
         self.contexts = {k: Lookup(m.folder, f"context{k}", m.shards, 8 * m.width, {"total": "<f8", "gamma": "<f4"}) for k in range(2, m.order + 1)}
 
     @staticmethod
@@ -295,7 +302,10 @@ class Scorer:
         one = self.words(hashes, {"count": 0, "n": 0})
         p = self._less(one["n"], m.d[1]) / max(m.lefts, 1) + m.gamma / (m.kinds + 1)
         for k, (context, suffix) in enumerate(levels(hashes, sizes, m.order, 64 - 8 * m.width), 2):
-            own = self.grams[k](key_of(context, suffix), {"n": 0})["n"]
+            keys = key_of(context, suffix)
+            own = self.grams[k](keys, {"n": 0})["n"]
+            if len(full := np.flatnonzero(own == FULL)):
+                own[full] = self.many[k](keys[full], {"n": FULL})["n"]
             at = self.contexts[k](context, {"total": 1, "gamma": 1})
             p = self._less(own, m.d[k]) / at["total"] + at["gamma"] * p
         owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -311,10 +321,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for rows, texts in slices(batch, "text", 4 << 20):
+            for rows, texts in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), *(pa.array(x) for x in scorer(texts))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def remove(spark: SparkSession, model: Model) -> None:
