@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, kept, scratch, slices, small_batches
+from .common import as_bytes, kept, lean, scratch, slices, small_batches
 
 #: Every byte that is no word byte becomes a blank; A-Z become a-z; bytes from x80 on are parts of words.
 NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
@@ -136,13 +136,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_pattern_b
     groups = _groups(benchmark, window, most_pattern_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if len(groups) == 1:
-        return rows.mapInArrow(_scanner(groups[0]), SCANNED)
-    scans = rows.mapInArrow(_scanner(groups[0]), SCANNED)
+        return rows.mapInArrow(lean(_scanner(groups[0])), SCANNED)
+    scans = rows.mapInArrow(lean(_scanner(groups[0])), SCANNED)
     for g in groups[1:]:
-        scans = scans.unionAll(rows.mapInArrow(_scanner(g), SCANNED))
+        scans = scans.unionAll(rows.mapInArrow(lean(_scanner(g)), SCANNED))
     merged = scans.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends"))).alias("spans"))
     both = rows.alias("r").join(merged.alias("m"), F.expr("r.doc_id <=> m.doc_id"), "left").select("r.doc_id", "r.text", "m.n_words", "m.items", "m.spans")
-    return both.mapInArrow(_uniter, SCANNED)
+    return both.mapInArrow(lean(_uniter), SCANNED)
 
 
 def _uniter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,5 +182,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_pat
                     clean.append(not words or not len(auto) or next(auto.iter(f" {b' '.join(words).decode('latin-1')} "), None) is None)
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import lean, slices, small_batches
 
 PREDICTED = "doc_id long, lang_pred string, score double"
 UNKNOWN = "und"
@@ -108,7 +108,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, profile: int = 400) -> dict[str, np.ndarray]:
     """Each language's ranked keys, from columns text and lang."""
     small_batches(docs.sparkSession)
-    counts = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(_counter, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(lean(_counter), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # ranked twice: first among those of one hash, so that no task sorts a whole language
     by_part = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "order")
     by_lang = Window.partitionBy("lang").orderBy(F.desc("n"), "order")
@@ -160,7 +160,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = 400
                 names, score = judge(texts)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PREDICTED)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), PREDICTED)
 
 
 def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = 400, least: float = 0.0) -> DataFrame:
@@ -174,4 +174,4 @@ def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int =
                 names, score = judge(texts)
                 yield rows.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

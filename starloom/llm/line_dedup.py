@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, as_bytes, discard, kept, scratch, slices, small_batches
+from .common import SPACE, as_bytes, discard, kept, lean, scratch, slices, small_batches
 
 KEYS = "doc_id long, hi long, lo long"
 
@@ -63,7 +63,7 @@ def _hashed(least_chars: int):
 def line_keys(docs: DataFrame, least_chars: int = 20) -> DataFrame:
     """doc_id and key of each document's distinct lines."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_hashed(least_chars), KEYS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_hashed(least_chars)), KEYS)
 
 
 class LineIndex:
@@ -206,7 +206,7 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int
     joined = docs.join(lost.select(F.col("doc_id").alias(f"{keys}_id"), F.col("lost").alias(keys)), F.col(key).cast("long") == F.col(f"{keys}_id"), "left").select(*[docs[c] for c in names], keys)
     plain = joined.toDF(*[f"c{i}" for i in range(len(names) + 1)])
     shape = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)] + [T.StructField(f"c{len(names)}", T.LongType()), T.StructField(f"c{len(names) + 1}", T.LongType())])
-    return plain.mapInArrow(_dropper(least_chars, names), shape).toDF(*names, n_lines, n_dropped)
+    return plain.mapInArrow(lean(_dropper(least_chars, names)), shape).toDF(*names, n_lines, n_dropped)
 
 
 def digest(text: bytes) -> str:
