@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    path = Path(tempfile.mkdtemp(prefix="starloom-code-")) / "starloom.zip"
+    folder = tempfile.mkdtemp(prefix="starloom-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = Path(folder) / "starloom.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(HERE.rglob("*.py")):
             z.write(f, f.relative_to(HERE.parent))
