@@ -299,10 +299,10 @@ def completion_check(spark, d):
     return incomplete_files(a.table(spark, d, "supplier").select(F.col("s_suppkey").alias("path"), status.cast("long").alias("status_completion"))).select("path", F.col("status_completion").isNull().alias("unknown"))
 
 
-@query("select s_suppkey, round(s_acctbal * 1.98892e30 / 1e0 / 1e30, 4) mass from supplier")
+@query("select s_suppkey, round(s_acctbal * 1.98892e30 / 1e30, 1) mass from supplier")
 def units_convert(spark, d):
     df = a.table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal")).alias("mass"))
-    return convert_units(with_units(df, "mass", Units(1.98892e30, "solar masses", "solMass")), "mass", "kg").select("s_suppkey", F.round(F.col("mass") / 1e30, 4).alias("mass"))
+    return convert_units(with_units(df, "mass", Units(1.98892e30, "solar masses", "solMass")), "mass", "kg").select("s_suppkey", F.round(F.col("mass") / 1e30, 1).alias("mass"))
 
 
 @query(r"""select p_partkey, case when x = '' then '_' else x end safe from (select p_partkey, regexp_replace(regexp_replace(regexp_replace(p_name || ':' || p_brand || '/' || p_type || '. ', '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '_+', '_', 'g'), '[ .]+$', '') x from part)""")
