@@ -19,7 +19,7 @@ from starloom.llm import decontaminate, langid, line_dedup, minhash, packing
 from starloom.llm.common import kept, scratch, table
 
 #: A document that is less like every language than this is taken for no language.
-LEAST_LANGUAGE_SCORE = 0.2
+LEAST_LANGUAGE_SCORE = 0.05
 
 
 def stage_langid(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

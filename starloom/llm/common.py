@@ -7,10 +7,12 @@ their `str` counterparts follow Unicode.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,6 +39,7 @@ def shared_root(spark: SparkSession) -> str:
         at = have.get() if have.isDefined() else None
     if not at:
         at = tempfile.mkdtemp(prefix="starloom-shared-")
+        atexit.register(shutil.rmtree, at, True)
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
