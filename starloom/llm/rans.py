@@ -26,15 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_partitions, discard, release, scratch, slices, small_batches
-from .tokens import ChunkTokenizer
+from .common import BATCH_ROWS, bounded_partitions, discard, lean, release, scratch, slices, small_batches
+from .tokens import worker_tokenizer
 
 LOW = 31  # states stay in [2**31, 2**63)
 NO_ID = -(1 << 63)  # stands for a null doc_id
-RAW = "part int, block int, doc_ids binary, lengths binary, ids binary"
+RAW = "kind int, part int, block int, doc_ids binary, lengths binary, ids binary, width int"
 BLOCKS = "part int, block int, doc_ids binary, lengths binary, n_ids long, lanes int, every int, states binary, words binary, payload binary, crc long, table_crc long"
 
 
@@ -65,7 +65,7 @@ class Table:
         return np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
 
 
-def encode(ids: np.ndarray, table: Table, lanes: int = 1024, every: int = 512) -> tuple[bytes, bytes, bytes]:
+def encode(ids: np.ndarray, table: Table, lanes: int = 2048, every: int = 256) -> tuple[bytes, bytes, bytes]:
     """Payload, checkpoint states, checkpoint word offsets. Steps are coded last to first, so decoding runs forwards."""
     steps = -(-len(ids) // lanes)
     pad = np.full(steps * lanes, ids[-1] if len(ids) else 0, np.int64)
@@ -73,14 +73,14 @@ def encode(ids: np.ndarray, table: Table, lanes: int = 1024, every: int = 512) -
     grid = pad.reshape(steps, lanes)
     bits, low = np.uint64(table.bits), np.uint64(32)
     freq, start = table.freq, table.start
-    limit = freq << np.uint64(LOW - table.bits + 32)
+    shift = np.uint64(LOW - table.bits + 32)
     x = np.full(lanes, 1 << LOW, np.uint64)
     words: list[np.ndarray] = []
     n, states, at = 0, [], []
     for step in range(steps - 1, -1, -1):
         s = grid[step]
         f = freq[s]
-        out = x >= limit[s]
+        out = x >= f << shift
         w = x[out]
         words.append(w.astype(np.uint32))
         n += len(w)
@@ -123,20 +123,30 @@ def _tokenised(tokenizer: str, end: int, block_ids: int):
     """Rows in document order to blocks of whole documents; ids as uint32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, block = ChunkTokenizer(tokenizer, end), TaskContext.get().partitionId(), 0
+        coder, part, block = worker_tokenizer(tokenizer, end), TaskContext.get().partitionId(), 0
         docs: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         held = 0
+        total = np.zeros(0, np.int64)
+
+        def row(kind: int, *values: object) -> pa.RecordBatch:
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((kind, part, *values), types, strict=True)], [f.split()[0] for f in RAW.split(", ")])
 
         def close() -> pa.RecordBatch:
-            nonlocal docs, sizes, ids, held, block
-            row = [part, block, np.concatenate(docs).astype("<i8").tobytes(), np.concatenate(sizes).astype("<u4").tobytes(), np.concatenate(ids).astype("<u4").tobytes()]
+            nonlocal docs, sizes, ids, held, block, total
+            flat = np.concatenate(ids)
+            n = np.bincount(flat, minlength=len(total))
+            n[: len(total)] += total
+            total = n
+            width = 2 if len(total) <= 1 << 16 else 4
+            out = row(0, block, np.concatenate(docs).astype("<i8").tobytes(), np.concatenate(sizes).astype("<u4").tobytes(), flat.astype(f"<u{width}").tobytes(), width)
             docs, sizes, ids, held, block = [], [], [], 0, block + 1
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "doc_ids", "lengths", "ids"])
+            return out
 
         for batch in batches:
-            for rows, texts in slices(batch, "text", 2 << 20):
+            for rows, texts in slices(batch, "text", 4 << 20):
                 got, n = coder.encode(texts)
                 docs.append(rows.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False))
                 sizes.append(n)
@@ -146,18 +156,21 @@ def _tokenised(tokenizer: str, end: int, block_ids: int):
                     yield close()
         if docs:
             yield close()
+        yield row(1, 0, b"", b"", total.astype("<i8").tobytes(), 8)
 
     return run
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of counts to one row per id and task."""
     total = np.zeros(0, np.int64)
     for batch in batches:
         for b in batch.column("ids"):
-            n = np.bincount(np.frombuffer(b.as_buffer(), "<u4"))
-            if len(n) > len(total):
-                total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-            total[: len(n)] += n
+            n = np.frombuffer(b.as_buffer(), "<i8").copy()
+            if len(n) < len(total):
+                n, total = total, n
+            n[: len(total)] += total
+            total = n
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
@@ -167,10 +180,9 @@ def _encoded(freq: np.ndarray, lanes: int, every: int):
         table = Table(freq)
         for batch in batches:
             for r in range(batch.num_rows):
-                raw = batch.column("ids")[r].as_buffer()
-                ids = np.frombuffer(raw, "<u4")
+                ids = np.frombuffer(batch.column("ids")[r].as_buffer(), f"<u{batch.column('width')[r].as_py()}").astype("<u4")
                 payload, states, words = encode(ids, table, lanes, every)
-                new = [len(ids), lanes, every, states, words, payload, zlib.crc32(raw), table.crc]
+                new = [len(ids), lanes, every, states, words, payload, zlib.crc32(ids.tobytes()), table.crc]
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
                 row = batch.slice(r, 1)
                 yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("part", "block", "doc_ids", "lengths")), *(pa.array([v], t) for v, t in zip(new, kinds, strict=True))], [f.split()[0] for f in BLOCKS.split(", ")])
@@ -178,7 +190,27 @@ def _encoded(freq: np.ndarray, lanes: int, every: int):
     return run
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end: int = 2, block_ids: int = 1 << 20, lanes: int = 1024, every: int = 512, partitions: int | None = None) -> None:
+def _ranged(rows: DataFrame, partitions: int) -> DataFrame:
+    """Ranges of doc_id, one per partition, null ids with the first. The bounds come from the ids alone, so texts are read once."""
+    cuts = rows.select(F.percentile_approx("doc_id", [k / partitions for k in range(1, partitions)], 100 * partitions)).first()[0] if partitions > 1 else None
+    return rows.repartitionById(partitions, F.when(F.col("doc_id").isNull(), 0).otherwise(step_tree(F.col("doc_id"), sorted(set(cuts or [])))).cast("int"))
+
+
+def step_tree(value: Column, edges: list[int]) -> Column:
+    """Index of the first edge that is >= value, as a balanced tree of comparisons."""
+    if not edges:
+        return F.lit(0)
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value <= F.lit(edges[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(edges))
+
+
+def write_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end: int = 2, block_ids: int = 1 << 20, lanes: int = 2048, every: int = 256, partitions: int | None = None) -> None:
     """Encodes every text, appends the end id, and writes the ids in ascending doc_id order in the format above.
 
     Texts are tokenised once: ranges of doc_id are sorted, their ids kept as plain blocks in the shared folder
@@ -186,20 +218,20 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json",
     vocabulary id reaches the driver.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 4 * BATCH_ROWS)  # more chunks repeat within a batch
     raw_path = scratch(spark, "ids")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions or bounded_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_tokenised(tokenizer, end, block_ids), RAW).write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(raw_path)
+    rows = _ranged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), partitions or bounded_partitions(spark)).sortWithinPartitions("doc_id", "text")
+    rows.mapInArrow(lean(_tokenised(tokenizer, end, block_ids)), RAW).write.option("compression", "snappy").option("parquet.block.size", 32 << 20).parquet(raw_path)
     raw = spark.read.schema(RAW).parquet(raw_path)
     del rows
     release(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a block
-    counts = raw.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = raw.where("kind = 1").select("ids").mapInArrow(lean(_counted), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     dense = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 0, np.int64)
     dense[counts["id"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     freq = Table.scaled(dense)
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id long, freq long").coalesce(1).write.parquet(f"{path}/tables")
-    raw.mapInArrow(_encoded(freq, lanes, every), BLOCKS).write.option("compression", "uncompressed").option("parquet.block.size", 16 << 20).parquet(f"{path}/blocks")
+    raw.where("kind = 0").mapInArrow(lean(_encoded(freq, lanes, every)), BLOCKS).write.option("compression", "uncompressed").option("parquet.block.size", 16 << 20).parquet(f"{path}/blocks")
     small_batches(spark)
     discard(spark, raw_path)
 
@@ -249,6 +281,6 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), row["part"], np.int32)), pa.array(np.full(len(sizes), row["block"], np.int32)), *columns], ["part", "block", *names])
 
-    decoded = blocks.mapInArrow(run, "part int, block int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    decoded = blocks.mapInArrow(lean(run), "part int, block int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     out = decoded.join(starts, ["part", "block"]).withColumn("start", F.col("start") + F.col("first_start"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
