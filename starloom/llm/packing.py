@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, kept, scratch, slices, small_batches
-from .tokens import ChunkTokenizer
+from .common import BATCH_ROWS, discard, kept, lean, scratch, slices, small_batches
+from .tokens import worker_tokenizer
 
 PIECES = "kind int, part long, bin long, size int, doc_id long, piece int, start long, length long, ids_crc32 long, offset long"
 NAMES = [f.split()[0] for f in PIECES.split(", ")]
@@ -67,10 +67,10 @@ def _up(used: np.ndarray, size: int, slack: int, most_up: int) -> np.ndarray:
 
 def _pieces(tokenizer: str, end: int, size: int, slack: int, most_up: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part = ChunkTokenizer(tokenizer, end), TaskContext.get().partitionId()
+        coder, part = worker_tokenizer(tokenizer, end), TaskContext.get().partitionId()
         docs, piece, length, crc = [], [], [], []
         for batch in batches:
-            for rows, texts in slices(batch, "text", 2 << 20):
+            for rows, texts in slices(batch, "text", 4 << 20):
                 ids, n = coder.encode(texts)
                 view = memoryview(ids.astype("<u4").tobytes())
                 k = -(-n // size)
@@ -110,9 +110,9 @@ def _merge(level: int, size: int, slack: int, most_up: int):
 def pack(docs: DataFrame, size: int = 2048, tokenizer: str = "word_bpe_49k.json", end: int = 0, slack: int = 4, fan: int = 8, most_up: int = 200_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 4 * BATCH_ROWS)  # more chunks repeat within a batch
     at = scratch(spark, "pieces")
-    rows = kept(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, end, size, slack, most_up), PIECES), at)
+    rows = kept(docs.select("doc_id", "text").mapInArrow(lean(_pieces(tokenizer, end, size, slack, most_up)), PIECES), at)
     pieces = rows.where("kind = 0").select("doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset")
     items = rows.where("kind = 1").select("part", "bin", "size")
     parts = int(items.agg(F.max("part")).first()[0] or 0) + 1
