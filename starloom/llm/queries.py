@@ -31,7 +31,7 @@ def op2_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return quality.judge(docs, quality.fit(docs, spark.read.parquet(table(sf_dir, "labels"))))
+    return quality.judge(docs, *quality.learn(docs, spark.read.parquet(table(sf_dir, "labels"))))
 
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

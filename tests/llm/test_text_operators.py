@@ -117,6 +117,23 @@ def test_quality_tells_junk_from_trusted_text(spark, make):
     assert quality.judge(make([(5, None, None, None, None)]).limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize("n", [200, 1200])
+def test_quality_verdict_on_labelled_junk_at_two_sizes(spark, stored, n):
+    """Junk words are made of trusted ones' letters and share their frequent words, so full buckets hide them."""
+    rng = random.Random(n)
+    own = lambda a, b: "".join(rng.choices("abcdefgh", k=rng.randrange(a, b)))
+    frequent = [own(2, 4) for _ in range(12)]
+    known = [own(3, 9) for _ in range(3000)]
+    good = lambda: " ".join(rng.choice(frequent if rng.random() < 0.5 else known) for _ in range(150))
+    junk = lambda: " ".join(rng.choice(frequent) if rng.random() < 0.5 else own(3, 9) for _ in range(150))
+    texts = [junk() if k % 8 == 0 else good() for k in range(n)]
+    got = by_id(queries.op3_quality(spark, stored(texts, labels=[(i, int(i % 8 > 0), 0) for i in range(0, n) if i % 16 in (0, 1, 2, 3, 4, 5)])))
+    passed = [i for i in range(n) if not got[i]["base_failed"]]
+    lost = sum(not got[i]["kept"] for i in passed if i % 8)
+    stayed = sum(got[i]["kept"] for i in passed if i % 8 == 0)
+    assert stayed <= 0.05 * n / 8 and lost <= 0.05 * n
+
+
 # ---- licences
 
 
