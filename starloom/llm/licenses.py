@@ -5,6 +5,10 @@ that are a copyright notice (with a year, a colon, (c) or the sign) removed, as
 other run of ASCII characters that are no letter or digit as one blank; equivalent spellings made one. Known
 texts pass through the same expression, so the two sides always agree. The digest is SHA-256 in hex.
 
+Known are KNOWN and the rows of `known_licenses.jsonl` (license_id, text): whole licence files in the wordings at hand, with
+and without their appendix, the header notices that the GPL and MPL ask for, and one-sentence notices. A notice or licence
+inside a longer document is not found, as the whole text is looked up.
+
 Spelling rules are applied only to texts at most `twice as long` as the longest known one after the other
 steps: no rule shortens a text by half, so a longer text cannot equal a known licence; its digest is of the text
 before those rules.
@@ -16,6 +20,9 @@ known table is broadcast while it has at most `most_broadcast` rows, and hash-jo
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +44,8 @@ SPELLINGS = [
 ]
 NOTICE = "(^|\\n)[^a-z0-9\\n]*(copyright[ \\t]*(\\(c\\)|©|:|[0-9]{4})|\\(c\\)|©)[^\\n]*"
 PUNCTUATION = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: More known texts, one JSON object a line; read on the driver.
+TABLE = Path(__file__).with_name("known_licenses.jsonl")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -120,7 +129,10 @@ def digests(known: DataFrame) -> DataFrame:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license_id string, text string")
+    """license_id, text of KNOWN and of the data table."""
+    with TABLE.open(encoding="utf-8") as f:
+        more = [(r["license_id"], r["text"]) for r in map(json.loads, f)]
+    return spark.createDataFrame(KNOWN + more, "license_id string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame, most_broadcast: int = 100_000) -> DataFrame:

@@ -159,6 +159,17 @@ def test_licences_by_canonical_digest(spark, make):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_whole_licence_files_and_all_notices_are_known(spark, make):
+    rows = [(r["license_id"], r["text"]) for r in licenses.known_licenses(spark).collect()]
+    whole = {i: max((t for j, t in rows if j == i), key=len) for i in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "BSL-1.0")}
+    assert all(len(whole[i]) > n for i, n in (("Apache-2.0", 10_000), ("GPL-2.0", 15_000), ("GPL-3.0", 30_000), ("LGPL-2.1", 20_000), ("LGPL-3.0", 7_000), ("MPL-2.0", 15_000), ("CC0-1.0", 6_000), ("Unlicense", 1_000), ("BSL-1.0", 1_000)))
+    filled = whole["Apache-2.0"].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2021 Somebody")
+    notices = {"Released under the MIT License.": "MIT-notice", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-notice", "Licensed under the Apache License, Version 2.0.": "Apache-2.0-notice", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-notice"}
+    texts = [*(t.upper().replace("\n", "\r\n  ") for t in whole.values()), filled, *notices, "prose\n" + next(iter(notices))]
+    got = by_id(licenses.scan(make(texts), licenses.known_licenses(spark)))
+    assert [got[i]["license_id"] for i in range(len(texts))] == [*whole, "Apache-2.0", *notices.values(), None]
+
+
 # ---- line dedup
 
 
