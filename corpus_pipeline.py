@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from starloom.llm import decontaminate, langid, line_dedup, minhash, packing
 from starloom.llm.common import kept, scratch, table
 
-#: A document that is less like every language than this is taken for no language.
-LEAST_LANGUAGE_SCORE = 0.05
+#: A document that is less like every language than this is taken for no language. It lies in a measured gap: the
+#: documents of sf0.1 score 0.415 and more and all but 2 of 30,000 pieces of 2 to 12 words from them 0.35 and more, while
+#: 100 random letters and more score 0.27 at most, and sentences in Polish, Finnish, Hungarian and Turkish 0.18 to 0.26.
+LEAST_LANGUAGE_SCORE = 0.35
 
 
 def stage_langid(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -252,6 +252,19 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, stored, make):
     assert got == want and 0 < len(docs) < len(texts)
 
 
+def test_language_stage_drops_gibberish_and_unlearned_languages(spark, make):
+    rng = random.Random(8)
+    english = "the of and to in that for with was his they are from this have not but had were which their one you all will would there been if more when who so out up into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through back years where much your way well down should because each just those people how too little state good very make world still own see men work long here get both between life being under never day same another know while last might us great old year off come since against go came right used take three".split()
+    german = "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei hatte kann gegen vom können schon wenn habe seine mark ihre dann unter wir soll ich eines jahr zwei jahren diese dieser wieder keine seiner worden will zwischen immer millionen was sagte gibt alle seit muss wurden beim doch jetzt waren drei jahre neue neuen damit bereits da ihr seinen müssen ab ihrer ohne sondern selbst ersten nun etwa heute ihren weil ihm menschen deutschland anderen rund ihn ende jedoch zeit".split()
+    known = [(k, " ".join(rng.choices(words, k=120)), lang, "s", None) for k, (words, lang) in enumerate([(english, "en"), (german, "de")] * 30)]
+    clean = [" ".join(rng.choices(words, k=n)) for words in (english, german) for n in (3, 5, 8)]
+    foreign = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."]
+    noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=n)) for n in (100, 300, 1000, 5000)]
+    rows = known + [(1000 + k, t, None, "s", None) for k, t in enumerate([*clean, *foreign, *noise])]
+    got = {r[0] for r in corpus_pipeline.stage_langid(spark, make(rows), "").select("doc_id").collect()}
+    assert got == {r[0] for r in known} | set(range(1000, 1000 + len(clean)))
+
+
 def test_stages_keep_columns_and_meet_odd_tables(spark, make, stored):
     at = stored(ODD, [(1, None)])
     odd = make([(None, None, None, None, None), (1, None, "en", None, 0), (2, "words of a text", None, "s", None), (2, "words of a text", None, "s", None)])
