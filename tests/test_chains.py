@@ -276,3 +276,21 @@ def test_files_stay_in_their_folder(run_dir):
         parameters.apply_state(tree, c.parameters, [1.0])
     with pytest.raises(KeyError):
         parameters.apply_state(tree, c.parameters, [1.0, 2.0], parameter_map=["p/z"])
+
+
+def test_autocorrelation_time_query_of_slow_chains(spark, tmp_path):
+    """Chains whose window closes far beyond lag 200, against sums over all lags."""
+    from starloom.plans import queries
+
+    rng = np.random.default_rng(11)
+    x = np.zeros((4, 3000))
+    for t in range(1, x.shape[1]):
+        x[:, t] = 0.99 * x[:, t - 1] + rng.normal(size=4)
+    rows = [(int(t * 4 + c), c, "view", float(x[c, t]), f'{{"k": {t % 7}}}') for t in range(x.shape[1]) for c in range(4)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    d = x - x.mean(axis=1, keepdims=True)
+    s = np.array([(d[:, : x.shape[1] - k] * d[:, k:]).sum() for k in range(x.shape[1])])
+    tau = 2 * np.cumsum(s / s[0]) - 1
+    window = int(np.flatnonzero(np.arange(len(tau)) >= 5 * tau)[0])
+    got = {r["param_idx"]: r["tau"] for r in queries.QUERIES["autocorr_time"](spark, str(tmp_path)).collect()}
+    assert window > 200 and got[0] == pytest.approx(tau[window], abs=1e-4)
