@@ -118,9 +118,10 @@ def _scanner(windows: dict[bytes, list[str]]):
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 rows = [scan_text(t, auto) for t in texts]
+                key = [part.column("key")] if "key" in part.schema.names else []
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())), *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (3, 4))],
-                    ["doc_id", "n_words", "n_hit", "items", "span_starts", "span_ends"],
+                    [*key, part.column("doc_id").cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())), *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (3, 4))],
+                    [*(["key"] if key else []), "doc_id", "n_words", "n_hit", "items", "span_starts", "span_ends"],
                 )
 
     return run
@@ -130,18 +131,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_pattern_b
     """One row per document: words, hit words, the items with matching windows, and the spans of hit words in the original text.
 
     With more windows than one automaton may hold, hit words of several scans can overlap; their spans are
-    then united (words between two spans that touch count once), and rows that share a doc_id become one.
+    then united (words between two spans that touch count once). Scans meet by doc_id and a 128-bit hash of the text.
     """
     small_batches(docs.sparkSession)
     groups = _groups(benchmark, window, most_pattern_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if len(groups) == 1:
         return rows.mapInArrow(lean(_scanner(groups[0])), SCANNED)
-    scans = rows.mapInArrow(lean(_scanner(groups[0])), SCANNED)
+    rows = rows.withColumn("key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    scans = rows.mapInArrow(lean(_scanner(groups[0])), f"key string, {SCANNED}")
     for g in groups[1:]:
-        scans = scans.unionAll(rows.mapInArrow(lean(_scanner(g)), SCANNED))
-    merged = scans.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends"))).alias("spans"))
-    both = rows.alias("r").join(merged.alias("m"), F.expr("r.doc_id <=> m.doc_id"), "left").select("r.doc_id", "r.text", "m.n_words", "m.items", "m.spans")
+        scans = scans.unionAll(rows.mapInArrow(lean(_scanner(g)), f"key string, {SCANNED}"))
+    merged = scans.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends"))).alias("spans"))
+    both = rows.alias("r").join(merged.alias("m"), F.expr("r.doc_id <=> m.doc_id and r.key = m.key"), "left").select("r.doc_id", "r.text", "m.n_words", "m.items", "m.spans")
     return both.mapInArrow(lean(_uniter), SCANNED)
 
 

@@ -76,6 +76,15 @@ def test_decontamination_query_and_filter(spark, make, stored, contaminated):
     assert decontaminate.scan(make(texts).limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("most", [64 << 20, 2_000])
+def test_decontamination_judges_rows_of_one_id_each_for_itself(spark, make, contaminated, most):
+    items, texts = contaminated
+    rows = [(i, t, "en", "s", None) for i in (None, 7) for t in (texts[0], texts[1], texts[1], texts[3], None)]
+    got = decontaminate.scan(make(rows), spark.createDataFrame(items, "item_id long, text string"), most_pattern_bytes=most)
+    have = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], list(r["items"])) for r in got.collect())
+    assert have == sorted((str(r[0]), *brute_hits(r[1], items)) for r in rows)
+
+
 # ---- quality
 
 
