@@ -1,10 +1,11 @@
 """Encoding of whole texts by a public tokenizer, one white-space chunk at a time.
 
 The tokenizer drops white space before it looks for words, so no token spans any: a text's ids are the
-ids of its chunks in order. Chunks repeat, so each worker keeps the ids of those it has seen (a bounded
-number, then it starts afresh), known by 64-bit hashes, and the library is asked for new ones only. A chunk of plain characters is
-cut into the tokenizer's pre-tokens here and the library's model encodes each distinct one once; all other
-chunks go through the whole library. Tests hold both against encoding whole texts.
+ids of its chunks in order. Chunks repeat, so each worker keeps the bytes and ids of those it has seen (a bounded
+number, then it starts afresh), and the library is asked for new ones only. A hash finds a chunk, its bytes, compared
+eight at a time, decide: a chunk whose hash belongs to another one is kept in a dictionary beside. A chunk of plain
+characters is cut into the tokenizer's pre-tokens here and the library's model encodes each distinct one once; all
+other chunks go through the whole library. Tests hold both against encoding whole texts.
 """
 
 from __future__ import annotations
@@ -54,6 +55,18 @@ def chunk_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix64((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
+def chunk_words(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of chunks as 64-bit numbers, the last of each filled with zeros, and how many each chunk has. data: padded by 8 bytes."""
+    view = np.ndarray((len(data) - 7,), "<u8", data.data, 0, (1,))
+    n = (length + 7) >> 3
+    inside = 8 * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+    words = view[np.repeat(begin, n) + inside]
+    left = np.repeat(length, n) - inside
+    tail = np.flatnonzero(left < 8)
+    words[tail] &= (np.uint64(1) << (8 * left[tail]).astype(np.uint64)) - np.uint64(1)
+    return words, n
+
+
 class HashIndex:
     """Numbers of known hashes, by open addressing over arrays: a batch is looked up by a few array operations."""
 
@@ -75,9 +88,8 @@ class HashIndex:
             who, slot = who[go], (slot[go] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers for distinct unknown hashes, counting on."""
-        numbers = np.arange(self.size, self.size + len(hashes))
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct unknown hashes and their numbers."""
         who, slot = np.arange(len(hashes)), self._slots(hashes)
         while len(who):
             free = np.flatnonzero(self.keys[slot] == 0)
@@ -88,7 +100,6 @@ class HashIndex:
             rest[put] = False
             who, slot = who[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
         self.size += len(hashes)
-        return numbers
 
 
 class ChunkTokenizer:
@@ -105,6 +116,11 @@ class ChunkTokenizer:
         self.index = HashIndex(max(8, (2 * self.most_chunks).bit_length()))
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        # the chunks themselves: words of eight bytes, where each begins, its bytes
+        self.words, self.worded = np.zeros(1 << 16, np.uint64), 0
+        self.at, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.others: dict[bytes, int] = {}  # chunks whose hash belongs to another one
+        self.known = 0
 
     def _piece(self, piece: str) -> bytes:
         letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
@@ -112,8 +128,8 @@ class ChunkTokenizer:
         self.pieces[piece] = ids
         return ids
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Ids of new chunks, which have the last numbers: plain ones by their pieces, which repeat far more than chunks do; others by the library as they are."""
+    def _ids(self, new: list[bytes]) -> list[bytes]:
+        """Ids of chunks: plain ones by their pieces, which repeat far more than chunks do; others by the library as they are."""
         got: list[bytes] = [b""] * len(new)
         odd = []
         pieces, piece = self.pieces, self._piece
@@ -133,39 +149,68 @@ class ChunkTokenizer:
                 odd.append(i)
         for i, e in zip(odd, self.library.encode_batch_fast([new[i].decode() for i in odd], add_special_tokens=False), strict=True):
             got[i] = np.array(e.ids, np.uint32).tobytes()
-        at, sizes = self.index.size - len(new), np.fromiter(map(len, got), np.int64, len(got)) // 4
-        total = int(sizes.sum())
+        return got
+
+    def _learn(self, new: list[bytes]) -> np.ndarray:
+        """Keeps chunks and their ids under the next numbers."""
+        got = self._ids(new)
+        padded = np.frombuffer(b"".join(new) + b"\0" * 8, np.uint8)
+        bytes_ = np.fromiter(map(len, new), np.int64, len(new))
+        words, n_words = chunk_words(padded, np.cumsum(bytes_) - bytes_, bytes_)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        total, at = int(sizes.sum()), self.known
+        self.known += len(new)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.index.size > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
+        while self.worded + len(words) > len(self.words):
+            self.words = np.concatenate([self.words, np.empty_like(self.words)])
+        while self.known > len(self.starts):
+            self.starts, self.lengths, self.at, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths, self.at, self.sizes))
         self.flat[self.used : self.used + total] = np.frombuffer(b"".join(got), np.uint32)
-        self.starts[at : at + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[at : at + len(new)] = sizes
+        self.starts[at : self.known] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[at : self.known] = sizes
+        self.words[self.worded : self.worded + len(words)] = words
+        self.at[at : self.known] = self.worded + np.cumsum(n_words) - n_words
+        self.sizes[at : self.known] = bytes_
         self.used += total
+        self.worded += len(words)
+        return np.arange(at, self.known)
+
+    def _differ(self, which: np.ndarray, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Places of the chunks that are not the ones their hashes found."""
+        alike = np.flatnonzero(self.sizes[which] == length)
+        words, n = chunk_words(data, begin[alike], length[alike])
+        kept = self.words[np.arange(len(words)) + np.repeat(self.at[which[alike]] - (np.cumsum(n) - n), n)]
+        wrong = np.repeat(alike, n)[words != kept]
+        if not len(wrong) and len(alike) == len(which):
+            return wrong
+        differ = self.sizes[which] != length
+        differ[wrong] = True
+        return np.flatnonzero(differ)
 
     def index_grow(self, more: int) -> None:
         old, bits = self.index, (2 * (self.index.size + more)).bit_length()
         self.index = HashIndex(max(bits, old.bits + 1))
         known = np.flatnonzero(old.keys)
-        order = known[np.argsort(old.numbers[known])]
-        self.index.add(old.keys[order])
+        self.index.add(old.keys[known], old.numbers[known])
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, each text's ended by the end id (null and empty texts: only that), and each text's number of ids."""
-        if self.index.size > self.most_chunks or self.used > 8 * self.most_chunks:
+        if self.known > self.most_chunks or max(self.used, self.worded) > 8 * self.most_chunks:
             self._clear()
         if len(self.pieces) > self.most_pieces:
             self.pieces = {}
-        # Arrow cuts the texts; chunks are known by hash, so only new ones become Python objects
+        # Arrow cuts the texts; only new chunks become Python objects
         cut = pc.fill_null(pc.ascii_split_whitespace(pc.fill_null(pa.array(texts, pa.large_binary()).cast(pa.large_string()), "")), [])
         flat = cut.flatten()
         _, where, raw = flat.buffers()
         offsets = np.frombuffer(where, np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
         low, high = int(offsets[0]), int(offsets[-1])
-        data = np.frombuffer(raw, np.uint8, high - low, low) if high > low else np.zeros(0, np.uint8)
+        data = np.zeros(high - low + 8, np.uint8)
+        if high > low:
+            data[:-8] = np.frombuffer(raw, np.uint8, high - low, low)
         offsets = offsets - low
-        hashes = chunk_hashes(data, offsets)
+        hashes = chunk_hashes(data[:-8], offsets)
         which = self.index.find(hashes)
         unknown = np.flatnonzero(which < 0)
         if len(unknown):
@@ -174,9 +219,13 @@ class ChunkTokenizer:
                 self.index_grow(len(new))
             begins, ends = offsets[unknown[first]].tolist(), offsets[unknown[first] + 1].tolist()
             view = memoryview(data)
-            self.index.add(new)
-            self._learn([bytes(view[i:j]) for i, j in zip(begins, ends, strict=True)])
+            self.index.add(new, self._learn([bytes(view[i:j]) for i, j in zip(begins, ends, strict=True)]))
             which[unknown] = self.index.find(hashes[unknown])
+        if len(differ := self._differ(which, data, offsets[:-1], np.diff(offsets))):
+            own = [data[i:j].tobytes() for i, j in zip(offsets[differ].tolist(), offsets[differ + 1].tolist(), strict=True)]
+            fresh = [c for c in dict.fromkeys(own) if c not in self.others]
+            self.others.update(zip(fresh, self._learn(fresh).tolist(), strict=True))
+            which[differ] = [self.others[c] for c in own]
         chunks = np.diff(cut.offsets.to_numpy())
         lengths = self.lengths[which]
         ends = np.cumsum(lengths)

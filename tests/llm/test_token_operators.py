@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +15,7 @@ from tokenizers import Tokenizer
 
 from starloom.llm import packing, queries, rans
 from starloom.llm.common import public_tokenizer, scratch
-from starloom.llm.tokens import ChunkTokenizer
+from starloom.llm.tokens import ChunkTokenizer, chunk_hashes
 
 from .conftest import by_id
 from .test_text_operators import ODD
@@ -39,6 +41,38 @@ def test_chunks_encode_as_whole_texts(most):
     assert len(coder.encode([])[0]) == 0
 
 
+def thue_morse(letters, n):
+    word = letters
+    while len(word) < n:
+        word += word.translate(str.maketrans(letters, letters[::-1]))
+    return word
+
+
+def test_chunks_of_one_hash_are_told_apart():
+    """Polynomial hashes modulo 2**64 of the two complementary Thue-Morse words collide for every odd base."""
+    pairs = [thue_morse(letters, n) for n in (1024, 2048, 4096) for letters in ("ab", "ba", "xy", "yx")]
+    data = np.frombuffer("".join(pairs[:2]).encode(), np.uint8)
+    assert len(set(chunk_hashes(data, np.array([0, 1024, 2048])).tolist())) == 1  # so this test tests something
+    texts = [" ".join(pairs), *pairs, *pairs[::-1], f"{pairs[1]} word {pairs[0]} {pairs[1]}", "word " + "z" * 5000, "z" * 5000 + "."]
+    for most in (400_000, 3):
+        coder = ChunkTokenizer(end=2, most_chunks=most)
+        for part in (texts, texts[::-1], texts[3:9]):
+            ids, sizes = coder.encode([t.encode() for t in part])
+            want = [ids_of(t, 2) for t in part]
+            assert ids.tolist() == [x for w in want for x in w] and sizes.tolist() == [len(w) for w in want]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_whole_table_encodes_as_by_the_library(sf):
+    at = f"/root/testdata/{sf}/documents.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no test tables")
+    texts = pq.read_table(at, columns=["text"])["text"].to_pylist()
+    ids, sizes = ChunkTokenizer(end=2).encode([None if t is None else t.encode() for t in texts])
+    want = [ids_of(t, 2) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
 @given(st.lists(st.integers(0, 300), max_size=400), st.integers(1, 9), st.integers(1, 7))
 @settings(max_examples=60, deadline=None)
 def test_codes_round_trip(values, lanes, every):
