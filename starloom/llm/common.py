@@ -15,10 +15,12 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The ASCII white space of every word and line rule here.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -26,18 +28,35 @@ SPACE = b" \t\n\x0b\x0c\r"
 BATCH_ROWS = 256
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows that a Python worker gets at once; texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows that a Python worker gets at once, for texts can be long. One value for all operators, as frames are run after they are built."""
+    if not 0 < int(spark.conf.get(_ROWS, "10000")) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of another number of rows, for jobs that run inside; the session's own number is put back."""
+    before = spark.conf.get(_ROWS, "10000")
+    spark.conf.set(_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests) a local one is made and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset on one machine (tests) a local one is made and set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = have.get() if have.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="starloom-shared-")
         atexit.register(shutil.rmtree, at, True)
         spark.sparkContext.setCheckpointDir(at)
@@ -127,10 +146,47 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 def shards_for(df: DataFrame, shard_bytes: int, least: int = 4) -> int:
-    """A power of two: one shard for so many bytes of a table, as Spark estimates its size; at most four for each shuffle partition."""
+    """A power of two: one shard for so many bytes of a table, as Spark estimates its size."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    most = max(least, 4 * bounded_partitions(df.sparkSession))
-    return 1 << (min(max(least, -(-size // shard_bytes)), most) - 1).bit_length()
+    return 1 << (max(least, -(-size // shard_bytes)) - 1).bit_length()
+
+
+def by_shard(df: DataFrame, shards: int, run: Callable, schema: str, *keys: str) -> DataFrame:
+    """Applies run(key, batches) to each group of rows with equal `keys`; the first of them is the shard, and every shard is a partition of its own."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (out for key, group in grouped(batches, keys) for out in run(key, group))
+
+    return df.repartitionById(shards, F.col(keys[0])).sortWithinPartitions(*keys).mapInArrow(lean(groups), schema)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple[int, ...], Iterator[pa.RecordBatch]]]:
+    """Runs of rows with equal keys, each as (key, its batches as they come)."""
+    pieces = _pieces(batches, keys)
+    held = next(pieces, None)
+
+    def own(key: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        while held is not None and held[0] == key:
+            rows, held = held[1], None
+            yield rows
+            held = next(pieces, None)
+
+    while held is not None:
+        key = held[0]
+        group = own(key)
+        yield key, group
+        for _ in group:  # what was not read
+            pass
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
+    for batch in batches:
+        values = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys], axis=1)
+        cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True):
+            if i < j:
+                yield tuple(values[i].tolist()), batch.slice(i, j - i)
 
 
 def bounded_partitions(spark: SparkSession) -> int:

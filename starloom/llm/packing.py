@@ -6,8 +6,10 @@ free places are done. The others go up as items of their own used length: `fan`
 which packs again by best-fit, and so on until one group is left. A merged sequence keeps its contents' order,
 so a piece's place is the sum of its offsets on the way up.
 
-Bounded memory: a task holds numbers, not ids; a group passes at most `most_up` open sequences up, those with
-most room. Any others are closed as they stand: every piece is still packed, only less tightly.
+Bounded memory. A partition holds numbers, not ids. Open sequences of one used length are alike, so what meets in
+a task is how many of each length every partition has: at most `size` numbers a partition, however many sequences
+they are, and the packing is the same as if each sequence were packed by itself. A task gives runs of sequences,
+(partition, used length, first to last) to (parent, offset), by which every open sequence then finds its way up.
 Each round is a written table, so a lost executor cannot change a packing that later steps have read.
 
 Defined cases. Null and empty texts: a piece with only the end id. Rows that share a doc_id are documents of
@@ -26,46 +28,92 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, discard, kept, lean, scratch, slices, small_batches
+from .common import BATCH_ROWS, batches_of, discard, kept, lean, scratch, slices
 from .tokens import worker_tokenizer
 
-PIECES = "kind int, part long, bin long, size int, doc_id long, piece int, start long, length long, ids_crc32 long, offset long"
+PIECES = "kind int, part long, bin long, used int, place long, doc_id long, piece int, start long, length long, ids_crc32 long, offset long"
 NAMES = [f.split()[0] for f in PIECES.split(", ")]
+RUNS = "part long, used int, first long, last long, up_part long, up_used int, up_first long, number long, offset long, open boolean"
+#: Runs that are sent to all executors rather than joined by a shuffle: at most so many rows of 80 bytes.
+MOST_BROADCAST = 500_000
+
+
+def fit_classes(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best-fit decreasing of counts[n] items of each length n.
+
+    Gives rows (length, first item, items, first bin, offset): so many items of that length, one to a bin, at that
+    offset of as many bins in a row; and rows (first bin, bins, used), ascending, of bins that are used alike.
+    """
+    placed: list[tuple[int, int, int, int, int]] = []
+    by_room: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
+    rooms = 0  # bit r: some bin has room r
+    bins = 0
+
+    def put(room: int, first: int, n: int) -> None:
+        nonlocal rooms
+        by_room[room].append((first, n))
+        rooms |= 1 << room
+
+    for length in range(size, 0, -1):
+        left, item = int(counts[length]), 0
+        while left and (fit := rooms >> length):
+            room = length + (fit & -fit).bit_length() - 1
+            first, n = by_room[room].pop()
+            if not by_room[room]:
+                rooms ^= 1 << room
+            m = min(n, left)
+            placed.append((length, item, m, first, size - room))
+            if m < n:
+                put(room, first + m, n - m)
+            put(room - length, first, m)
+            left, item = left - m, item + m
+            # a bin that takes several of them takes the next ones first, as it has the least room now
+            while left and room - length >= length:
+                room -= length
+                by_room[room].pop()
+                if not by_room[room]:
+                    rooms ^= 1 << room
+                k = min(m, left)
+                placed.append((length, item, k, first, size - room))
+                if k < m:
+                    put(room, first + k, m - k)
+                put(room - length, first, k)
+                left, item, m = left - k, item + k, k
+        if left:
+            each = size // length
+            for n, whole in ((left // each, each), (int(left % each > 0), left % each)):
+                if n:
+                    for k in range(whole):
+                        placed.append((length, item, n, bins, k * length))
+                        item += n
+                    put(size - whole * length, bins, n)
+                    bins += n
+    used = sorted((first, n, size - room) for room, groups in enumerate(by_room) for first, n in groups)
+    return np.array(placed, np.int64).reshape(-1, 5), np.array(used, np.int64).reshape(-1, 3)
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best-fit decreasing: each item's bin and offset, and each bin's used length. Equal items in their given order."""
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    used: list[int] = []
-    open_by_room: list[list[int]] = [[] for _ in range(size + 1)]
-    rooms = 0  # bit r: some bin has room r
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[i])
-        fit = rooms >> n
-        if fit:
-            room = n + (fit & -fit).bit_length() - 1
-            b = open_by_room[room].pop()
-            if not open_by_room[room]:
-                rooms ^= 1 << room
-        else:
-            room, b = size, len(used)
-            used.append(0)
-        bins[i], offsets[i] = b, used[b]
-        used[b] += n
-        if room > n:
-            open_by_room[room - n].append(b)
-            rooms |= 1 << (room - n)
-    return bins, offsets, np.array(used, np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    begins = np.searchsorted(-lengths[order], -np.arange(size + 1))
+    placed, used = fit_classes(np.bincount(lengths, minlength=size + 1), size)
+    for length, item, n, first, offset in placed.tolist():
+        who = order[begins[length] + item : begins[length] + item + n]
+        bins[who], offsets[who] = np.arange(first, first + n), offset
+    return bins, offsets, np.repeat(used[:, 2], used[:, 1])
 
 
-def _up(used: np.ndarray, size: int, slack: int, most_up: int) -> np.ndarray:
-    """The bins that go up."""
-    room = size - used
-    goes = np.flatnonzero(room > slack)
-    return goes if len(goes) <= most_up else np.sort(goes[np.argsort(-room[goes], kind="stable")[:most_up]])
+def _among_alike(used: np.ndarray) -> np.ndarray:
+    """Each bin's place among those that are used alike."""
+    order = np.argsort(used, kind="stable")
+    first = np.searchsorted(used[order], used[order])
+    out = np.empty(len(used), np.int64)
+    out[order] = np.arange(len(used)) - first
+    return out
 
 
-def _pieces(tokenizer: str, end: int, size: int, slack: int, most_up: int):
+def _pieces(tokenizer: str, end: int, size: int, slack: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = worker_tokenizer(tokenizer, end), TaskContext.get().partitionId()
         docs, piece, length, crc = [], [], [], []
@@ -87,53 +135,86 @@ def _pieces(tokenizer: str, end: int, size: int, slack: int, most_up: int):
         bins, offsets, used = best_fit(lengths, size)
         base = part << 32
         n = len(lengths)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part)), pa.array(bins + base), pa.nulls(n, pa.int32()), pa.concat_arrays(docs), pa.array(pieces.astype(np.int32)), pa.array(pieces * size), pa.array(lengths), pa.array(np.concatenate(crc)), pa.array(offsets)], NAMES)
-        goes = _up(used, size, slack, most_up)
+        none = pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part)), pa.array(bins + base), pa.nulls(n, pa.int32()), none, pa.concat_arrays(docs), pa.array(pieces.astype(np.int32)), pa.array(pieces * size), pa.array(lengths), pa.array(np.concatenate(crc)), pa.array(offsets)], NAMES)
+        goes = np.flatnonzero(size - used > slack)
         m = len(goes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.full(m, part)), pa.array(goes + base), pa.array(used[goes].astype(np.int32)), *(pa.nulls(m, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.full(m, part)), pa.array(goes + base), pa.array(used[goes].astype(np.int32)), pa.array(_among_alike(used[goes])), *(pa.nulls(m, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], NAMES)
 
     return run
 
 
-def _merge(level: int, size: int, slack: int, most_up: int):
+def merged(parts: np.ndarray, used: np.ndarray, n: np.ndarray, size: int, slack: int) -> list[tuple[int, ...]]:
+    """Packs n sequences of each used length of each part; gives rows (part, used, first, last, up_used, up_first, number, offset, open)."""
+    rank = np.lexsort((parts, used))
+    parts, used, n = parts[rank], used[rank], n[rank]
+    counts = np.bincount(used, weights=n, minlength=size + 1).astype(np.int64)
+    placed, bins = fit_classes(counts, size)
+    ends = np.cumsum(n)
+    before = np.concatenate([[0], np.cumsum(counts)])[used]  # sequences of shorter lengths
+    first_of, last_of = ends - n - before, ends - before  # a part's sequences among all of that length
+    rows_of = np.searchsorted(used, np.arange(size + 2))
+    alike = np.zeros(len(bins), np.int64)  # bins before these that are used alike
+    for u in np.unique(bins[:, 2]):
+        own = np.flatnonzero(bins[:, 2] == u)
+        alike[own] = np.cumsum(bins[own, 1]) - bins[own, 1]
+    starts = bins[:, 0]
+    out = []
+    for length, item, many, bin_, offset in placed.tolist():
+        r = int(rows_of[length]) + int(np.searchsorted(last_of[rows_of[length] : rows_of[length + 1]], item, "right"))
+        g = int(np.searchsorted(starts, bin_, "right")) - 1
+        stop = item + many
+        while item < stop:  # cut where another part's sequences or bins used otherwise begin
+            k = min(stop - item, int(last_of[r]) - item, int(starts[g] + bins[g, 1]) - bin_)
+            at = item - int(first_of[r])
+            up_used = int(bins[g, 2])
+            out.append((int(parts[r]), length, at, at + k, up_used, int(alike[g]) + bin_ - int(starts[g]), bin_, offset, size - up_used > slack))
+            item, bin_ = item + k, bin_ + k
+            r += item == last_of[r]
+            g += bin_ == starts[g] + bins[g, 1]
+    return out
+
+
+def _merge(size: int, slack: int):
+    names = ["part", "used", "first", "last", "up_used", "up_first", "number", "offset", "open"]
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("bin", kind="stable")
-        bins, offsets, used = best_fit(group["size"].to_numpy(np.int64), size)
-        base = (level << 56) + (int(group["part"].iloc[0]) << 32)
-        up = np.zeros(len(used), bool)
-        up[_up(used, size, slack, most_up)] = True
-        return pd.DataFrame({"bin": group["bin"].to_numpy(), "parent": bins + base, "offset": offsets, "part": group["part"].to_numpy(), "used": used[bins], "up": up[bins]})
+        rows = pd.DataFrame(merged(*(group[c].to_numpy(np.int64) for c in ("part", "used", "n")), size, slack), columns=names)
+        return rows.assign(up_part=int(group["up_part"].iloc[0]))[[f.split()[0] for f in RUNS.split(", ")]]
 
     return run
 
 
-def pack(docs: DataFrame, size: int = 2048, tokenizer: str = "word_bpe_49k.json", end: int = 0, slack: int = 4, fan: int = 8, most_up: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, tokenizer: str = "word_bpe_49k.json", end: int = 0, slack: int = 4, fan: int = 8, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    small_batches(spark, 4 * BATCH_ROWS)  # more chunks repeat within a batch
-    at = scratch(spark, "pieces")
-    rows = kept(docs.select("doc_id", "text").mapInArrow(lean(_pieces(tokenizer, end, size, slack, most_up)), PIECES), at)
+    with batches_of(spark, 4 * BATCH_ROWS):  # more chunks repeat within a batch
+        rows = kept(docs.select("doc_id", "text").mapInArrow(lean(_pieces(tokenizer, end, size, slack)), PIECES), scratch(spark, "pieces"))
     pieces = rows.where("kind = 0").select("doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset")
-    items = rows.where("kind = 1").select("part", "bin", "size")
-    parts = int(items.agg(F.max("part")).first()[0] or 0) + 1
-    rounds, paths, level = [], [], 0
-    while parts > 1 or not rounds:
-        level += 1
-        grouped = items.withColumn("part", F.floor(F.col("part") / fan).cast("long"))
+    way = rows.where("kind = 1").select("bin", "part", "used", "place", F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("shift"))
+    counts = way.groupBy("part", "used").agg(F.count("*").alias("n"))
+    parts = int(rows.where("kind = 1").agg(F.max("part")).first()[0] or 0) + 1
+    paths, level = [], 0
+    while parts > 1 or not level:
+        level, parts = level + 1, -(-parts // fan)
         paths.append(scratch(spark, "packed"))
-        merged = kept(grouped.groupBy("part").applyInPandas(_merge(level, size, slack, most_up), "bin long, parent long, offset long, part long, used long, up boolean"), paths[-1])
-        rounds.append(merged)
-        items = merged.where("up").groupBy("part", F.col("parent").alias("bin")).agg(F.first("used").cast("int").alias("size"))
-        parts = -(-parts // fan)
-    # from the top down: where each open bin of a round ends up
-    top = None
-    for merged in reversed(rounds):
-        own = merged.select("bin", "parent", "offset")
-        if top is not None:
-            own = own.join(top.select(F.col("bin").alias("parent"), F.col("root"), F.col("shift")), "parent", "left").select("bin", F.coalesce("root", "parent").alias("root"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("shift"))
-        else:
-            own = own.select("bin", F.col("parent").alias("root"), F.col("offset").alias("shift"))
-        top = own
-    placed = kept(top, scratch(spark, "placed"))
+        runs = kept(counts.withColumn("up_part", F.floor(F.col("part") / fan).cast("long")).groupBy("up_part").applyInPandas(_merge(size, slack), RUNS), paths[-1])
+        few = runs.count() <= most_broadcast
+        counts = runs.where("open and offset = 0").groupBy(F.col("up_part").alias("part"), F.col("up_used").alias("used")).agg(F.sum(F.col("last") - F.col("first")).alias("n"))
+        # a sequence's number is its level's, its group's and its own within that
+        step = (1 << 56) // parts
+        on = (F.col("w.part") == F.col("r.part")) & (F.col("w.used") == F.col("r.used")) & (F.col("w.place") >= F.col("r.first")) & (F.col("w.place") < F.col("r.last"))
+        along = F.col("w.place") - F.col("r.first")
+        moved = way.alias("w").join((F.broadcast(runs) if few else runs).alias("r"), on, "left")
+        stays = F.col("r.part").isNull()  # was done on a lower level
+        way = moved.select(
+            "w.bin",
+            F.when(F.col("r.open"), F.col("r.up_part")).alias("part"),
+            F.when(F.col("r.open"), F.col("r.up_used")).alias("used"),
+            F.when(F.col("r.open"), F.col("r.up_first") + along).alias("place"),
+            F.when(stays, F.col("w.root")).otherwise(F.lit(level << 56) + F.col("r.up_part") * step + F.col("r.number") + along).alias("root"),
+            F.when(stays, F.col("w.shift")).otherwise(F.col("w.shift") + F.col("r.offset")).alias("shift"),
+        )
+    placed = kept(way.select("bin", "root", "shift"), scratch(spark, "placed"))
     discard(spark, *paths)
     return pieces.join(placed, "bin", "left").select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("root", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
