@@ -4,9 +4,9 @@ Files. A data set is a folder with two Parquet tables, so that any store Spark r
 `tables` (id, freq: the frequencies of all ids, which sum to 2**bits) and `blocks`, one row per block:
 part, block (their order is the documents' order), first_start (ids before the block), doc_ids and lengths
 (little-endian int64 and uint32 arrays: the block's documents), n_ids, lanes, every (steps between
-checkpoints), states and words (checkpoints: the lanes' states and the word offset from which decoding can
-begin), payload (32-bit words), crc (of the ids as little-endian uint32) and table_crc (of the table that
-encoded it).
+checkpoints), for each checkpoint states, words and crcs (the lanes' states and the word offset from which decoding
+can begin, and the checksum of the ids up to the next one, as little-endian uint32), payload (32-bit words) and
+table_crc (of the table that encoded it).
 
 Code. Id i of a block goes to lane i % lanes, step i // lanes; each lane is a 64-bit state over one shared
 word stream, so a step codes all lanes by a few array operations. A block needs nothing but the table, and
@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, bounded_partitions, discard, lean, release, scratch, slices, small_batches
+from .common import BATCH_ROWS, batches_of, bounded_partitions, discard, kept, lean, release, scratch, slices
 from .tokens import worker_tokenizer
 
 LOW = 31  # states stay in [2**31, 2**63)
 NO_ID = -(1 << 63)  # stands for a null doc_id
 RAW = "kind int, part int, block int, doc_ids binary, lengths binary, ids binary, width int"
-BLOCKS = "part int, block int, doc_ids binary, lengths binary, n_ids long, lanes int, every int, states binary, words binary, payload binary, crc long, table_crc long"
+BLOCKS = "part int, block int, doc_ids binary, lengths binary, n_ids long, lanes int, every int, states array<binary>, words array<long>, payload binary, crcs array<long>, table_crc long"
 
 
 class Table:
@@ -182,8 +182,10 @@ def _encoded(freq: np.ndarray, lanes: int, every: int):
             for r in range(batch.num_rows):
                 ids = np.frombuffer(batch.column("ids")[r].as_buffer(), f"<u{batch.column('width')[r].as_py()}").astype("<u4")
                 payload, states, words = encode(ids, table, lanes, every)
-                new = [len(ids), lanes, every, states, words, payload, zlib.crc32(ids.tobytes()), table.crc]
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+                saved = [states[i : i + 8 * lanes] for i in range(0, len(states), 8 * lanes)]
+                crcs = [zlib.crc32(ids[i : i + lanes * every].tobytes()) for i in range(0, len(ids), lanes * every)]
+                new = [len(ids), lanes, every, saved, np.frombuffer(words, "<i8").tolist(), payload, crcs, table.crc]
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.int64())
                 row = batch.slice(r, 1)
                 yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("part", "block", "doc_ids", "lengths")), *(pa.array([v], t) for v, t in zip(new, kinds, strict=True))], [f.split()[0] for f in BLOCKS.split(", ")])
 
@@ -218,21 +220,20 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json",
     vocabulary id reaches the driver.
     """
     spark = docs.sparkSession
-    small_batches(spark, 4 * BATCH_ROWS)  # more chunks repeat within a batch
     raw_path = scratch(spark, "ids")
     rows = _ranged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), partitions or bounded_partitions(spark)).sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(lean(_tokenised(tokenizer, end, block_ids)), RAW).write.option("compression", "snappy").option("parquet.block.size", 32 << 20).parquet(raw_path)
+    with batches_of(spark, 4 * BATCH_ROWS):  # more chunks repeat within a batch
+        rows.mapInArrow(lean(_tokenised(tokenizer, end, block_ids)), RAW).write.option("compression", "snappy").option("parquet.block.size", 32 << 20).parquet(raw_path)
     raw = spark.read.schema(RAW).parquet(raw_path)
     del rows
     release(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a block
-    counts = raw.where("kind = 1").select("ids").mapInArrow(lean(_counted), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    dense = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 0, np.int64)
-    dense[counts["id"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    freq = Table.scaled(dense)
-    spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id long, freq long").coalesce(1).write.parquet(f"{path}/tables")
-    raw.where("kind = 0").mapInArrow(lean(_encoded(freq, lanes, every)), BLOCKS).write.option("compression", "uncompressed").option("parquet.block.size", 16 << 20).parquet(f"{path}/blocks")
-    small_batches(spark)
+    with batches_of(spark, 1):  # a row is a block
+        counts = raw.where("kind = 1").select("ids").mapInArrow(lean(_counted), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+        dense = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 0, np.int64)
+        dense[counts["id"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+        freq = Table.scaled(dense)
+        spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id long, freq long").coalesce(1).write.parquet(f"{path}/tables")
+        raw.where("kind = 0").mapInArrow(lean(_encoded(freq, lanes, every)), BLOCKS).write.option("compression", "uncompressed").option("parquet.block.size", 16 << 20).parquet(f"{path}/blocks")
     discard(spark, raw_path)
 
 
@@ -243,24 +244,59 @@ def read_table(spark: SparkSession, path: str) -> np.ndarray:
     return freq
 
 
-def _checked(row: dict, table: Table, slots: np.ndarray) -> np.ndarray:
+def crc_power(n: int) -> int:
+    """x ** (8 n) modulo the polynomial of crc32: what n more bytes do to a checksum."""
+    out, square = 1 << 31, 1 << 23  # x ** 0 and x ** 8, highest power first
+    while n:
+        if n & 1:
+            out = crc_product(out, square)
+        square = crc_product(square, square)
+        n >>= 1
+    return out
+
+
+def crc_product(a: int, b: int) -> int:
+    out = 0
+    for k in range(31, -1, -1):
+        if a >> k & 1:
+            out ^= b
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def crc_joined(parts: list[tuple[int, int]]) -> int:
+    """crc32 of joined pieces from each one's (crc32, bytes)."""
+    out = 0
+    for crc, n in parts:
+        out = crc_product(out, crc_power(n)) ^ crc
+    return out
+
+
+def runs_of(blocks: DataFrame) -> DataFrame:
+    """One row per checkpoint: the words and the state from which its steps are decoded, by themselves, and the block's documents."""
+    rows = blocks.select("*", F.posexplode("words").alias("run", "at"))
+    stop = F.coalesce(F.get("words", F.col("run") + 1), F.expr("octet_length(payload) div 4"))
+    cut = F.substr("payload", (4 * F.col("at") + 1).cast("int"), (4 * (stop - F.col("at"))).cast("int"))
+    steps = F.col("lanes") * F.col("every").cast("long")
+    return rows.select("part", "block", "run", "lanes", "every", (F.col("run") * steps).alias("first"), F.least(F.col("n_ids") - F.col("run") * steps, steps).alias("n_ids"), F.get("states", "run").alias("state"), cut.alias("payload"), F.get("crcs", "run").alias("crc"), "table_crc", "doc_ids", "lengths")
+
+
+def run_ids(row: dict, table: Table, slots: np.ndarray) -> np.ndarray:
+    """The ids of a run, held against its checksum."""
+    where = f"run {row['run']} of block {row['part']}.{row['block']}"
     if row["table_crc"] != table.crc:
-        raise ValueError(f"block {row['part']}.{row['block']} was coded with another table")
-    ids = decode(row["payload"], row["states"], row["words"], row["n_ids"], row["lanes"], row["every"], table, slots)
-    if zlib.crc32(ids.astype("<u4").tobytes()) != row["crc"]:
-        raise ValueError(f"block {row['part']}.{row['block']} is damaged")
+        raise ValueError(f"{where} was coded with another table")
+    ids = decode(row["payload"], row["state"], bytes(8), row["n_ids"], row["lanes"], row["every"], table, slots).astype("<u4")
+    if zlib.crc32(ids.tobytes()) != row["crc"]:
+        raise ValueError(f"{where} is damaged")
     return ids
 
 
-def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """Decodes the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and on request the ids."""
-    blocks = spark.read.parquet(f"{path}/blocks")
-    freq = read_table(spark, path)
-    per_part = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    # a row per part (as many as there were partitions): their running sum is a window over few rows
-    before = per_part.select("part", F.expr("coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0)").alias("part_start"))
-    starts = blocks.select("part", "block", "n_ids").join(F.broadcast(before), "part").select("part", "block", F.expr("part_start + coalesce(sum(n_ids) over (partition by part order by block rows between unbounded preceding and 1 preceding), 0)").alias("first_start"))
-    small_batches(spark, 4)  # a row is a block
+DECODED = "part int, block int, number int, run int, whole boolean, doc_id long, start long, n long, crc long"
+
+
+def _decoder(freq: np.ndarray, with_ids: bool):
+    names = [f.split()[0] for f in DECODED.split(", ")] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(freq)
@@ -268,19 +304,54 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-                ids = _checked(row, table, slots).astype("<u4")
-                sizes = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-                ends = np.cumsum(sizes)
+                ids = run_ids(row, table, slots)
+                ends = np.cumsum(np.frombuffer(row["lengths"], "<u4").astype(np.int64))
+                begin, stop = row["first"], row["first"] + row["n_ids"]
+                i, j = int(np.searchsorted(ends, begin, "right")), int(np.searchsorted(ends, stop, "left")) + 1
+                before = np.concatenate([[0], ends])[i:j]  # where these documents begin
+                low, high = np.maximum(before, begin) - begin, np.minimum(ends[i:j], stop) - begin
                 view = memoryview(ids.tobytes())
-                bounds = list(zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist(), strict=True))
-                docs = np.frombuffer(row["doc_ids"], "<i8")
-                columns = [pa.array(docs, mask=docs == NO_ID), pa.array(ends - sizes), pa.array(sizes), pa.array([zlib.crc32(view[a:b]) for a, b in bounds], pa.int64())]
-                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                crc = [zlib.crc32(view[a:b]) for a, b in zip((4 * low).tolist(), (4 * high).tolist(), strict=True)]
+                n, docs = len(low), np.frombuffer(row["doc_ids"], "<i8")[i:j]
+                same = lambda x: pa.array(np.full(n, x, np.int32))
+                columns = [same(row["part"]), same(row["block"]), pa.array(np.arange(i, j, dtype=np.int32)), same(row["run"]), pa.array(high - low == ends[i:j] - before), pa.array(docs, mask=docs == NO_ID), pa.array(before), pa.array(high - low), pa.array(crc, pa.int64())]
                 if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int64))))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), row["part"], np.int32)), pa.array(np.full(len(sizes), row["block"], np.int32)), *columns], ["part", "block", *names])
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(low, high[-1:]), pa.int32()), pa.array(ids.astype(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def _joiner(names: list[str]):
+    """The checksums of documents that lie in several runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            crc = [crc_joined([(p["crc"], 4 * p["n"]) for p in parts]) for parts in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(c) if c != "crc" else pa.array(crc, pa.int64()) for c in names], names)
+
+    return run
+
 
-    decoded = blocks.mapInArrow(lean(run), "part int, block int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
-    out = decoded.join(starts, ["part", "block"]).withColumn("start", F.col("start") + F.col("first_start"))
-    return out.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
+def read_ids(spark: SparkSession, path: str, with_ids: bool = False, most_ids: int = 1 << 22) -> DataFrame:
+    """Decodes the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and on request the ids.
+
+    Every run between two checkpoints is decoded and checked by itself. Those of a block of more than `most_ids` ids (a long
+    document) are spread over all tasks; documents that lie in several runs are joined afterwards. What is decoded is a written table.
+    """
+    blocks = spark.read.parquet(f"{path}/blocks")
+    freq = read_table(spark, path)
+    per_part = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    # a row per part (as many as there were partitions): their running sum is a window over few rows
+    before = per_part.select("part", F.expr("coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0)").alias("part_start"))
+    starts = blocks.select("part", "block", "n_ids").join(F.broadcast(before), "part").select("part", "block", F.expr("part_start + coalesce(sum(n_ids) over (partition by part order by block rows between unbounded preceding and 1 preceding), 0)").alias("first_start"))
+    runs = runs_of(blocks.where(F.col("n_ids") <= most_ids))
+    if blocks.where(F.col("n_ids") > most_ids).head(1):
+        runs = runs.unionAll(runs_of(blocks.where(F.col("n_ids") > most_ids)).repartition("part", "block", "run"))
+    with batches_of(spark, 4):  # a row is half a million ids
+        decoded = kept(runs.mapInArrow(lean(_decoder(freq, with_ids)), DECODED + ", ids array<long>" * with_ids), scratch(spark, "decoded"))
+    names = ["part", "block", "doc_id", "start", "n", "crc", *["ids"] * with_ids]
+    split = decoded.where("not whole").groupBy("part", "block", "number").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("run", "n", "crc"))).alias("parts"), *[F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "ids"))), lambda x: x["ids"])).alias("ids")] * with_ids)
+    split = split.withColumn("crc", F.lit(0).cast("long")).select(*names, "parts").mapInArrow(lean(_joiner(names)), ", ".join(f"{c} {'array<long>' if c == 'ids' else 'int' if c in ('part', 'block') else 'long'}" for c in names))
+    out = decoded.where("whole").select(*names).unionAll(split).join(starts, ["part", "block"]).withColumn("start", F.col("start") + F.col("first_start"))
+    return out.select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"), *["ids"] * with_ids)

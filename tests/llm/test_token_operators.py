@@ -93,6 +93,12 @@ def test_frequencies_keep_every_id():
         rans.Table.scaled(np.ones(5000), 12)
 
 
+@given(st.lists(st.binary(max_size=40), max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_checksums_of_pieces_join(pieces):
+    assert rans.crc_joined([(zlib.crc32(p), len(p)) for p in pieces]) == zlib.crc32(b"".join(pieces))
+
+
 def test_files_of_ids(spark, stored, make):
     rng = random.Random(2)
     texts = [" ".join(f"word{rng.randrange(50)}" for _ in range(rng.randrange(200))) for _ in range(60)] + ODD
@@ -108,15 +114,19 @@ def test_files_hold_ids_and_notice_damage(spark, make):
     path = scratch(spark, "rans-test")
     docs = make([(None, "first one", "", "", 0), (3, "a b c", "", "", 0), (3, "a", "", "", 0), (1, None, "", "", 0)])
     rans.write_ids(docs, path, block_ids=3, lanes=2, every=1, partitions=2)
-    rows = rans.read_ids(spark, path, with_ids=True).orderBy("start").collect()
-    assert [(r["doc_id"], r["ids"]) for r in rows] == [(None, ids_of("first one", 2)), (1, [2]), (3, ids_of("a", 2)), (3, ids_of("a b c", 2))]
-    blocks = spark.read.parquet(f"{path}/blocks").collect()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for most in (1 << 22, 3):
+        rows = rans.read_ids(spark, path, with_ids=True, most_ids=most).orderBy("start").collect()
+        assert [(r["doc_id"], r["ids"]) for r in rows] == [(None, ids_of("first one", 2)), (1, [2]), (3, ids_of("a", 2)), (3, ids_of("a b c", 2))]
+        assert [r["ids_crc32"] for r in rows] == [zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in rows]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    runs = rans.runs_of(spark.read.parquet(f"{path}/blocks")).collect()
+    assert len(runs) > spark.read.parquet(f"{path}/blocks").count()
     table = rans.Table(rans.read_table(spark, path))
-    row = blocks[0].asDict() | {"crc": 1}
     with pytest.raises(ValueError, match="damaged"):
-        rans._checked(row, table, table.slots())
+        rans.run_ids(runs[0].asDict() | {"crc": 1}, table, table.slots())
     with pytest.raises(ValueError, match="another table"):
-        rans._checked(blocks[0].asDict() | {"table_crc": 5}, table, table.slots())
+        rans.run_ids(runs[0].asDict() | {"table_crc": 5}, table, table.slots())
     empty = scratch(spark, "rans-none")
     rans.write_ids(docs.limit(0), empty)
     assert rans.read_ids(spark, empty).count() == 0
