@@ -209,9 +209,23 @@ def test_line_dedup_equals_brute_force(spark, make, batches):
     assert got.columns[:5] == docs.columns
     have = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in got.collect()), key=repr)
     assert have == sorted(brute_lines(rows), key=repr)
+    beyond = line_dedup.drop_repeated_lines(docs, batches=batches, most_broadcast=0)
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in beyond.collect()), key=repr) == have
     assert {t["namespace"] if isinstance(t, dict) else t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")} == set()
 
 
+def test_line_runs_merge_without_a_shuffle(spark, make):
+    index = line_dedup.LineIndex(spark, 4, fan=3)
+    pairs = line_dedup.line_keys(make(["a line that is long enough\nand yet another long line", "a line that is long enough"]))
+    try:
+        for _ in range(2):
+            index.add(pairs)
+        assert len(index.runs()) == 2 and "Exchange" not in index.merged(*index.runs())._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["n"] for r in index.frequent(1).collect()) == [2, 4]
+    finally:
+        index.close()
+
+
 def test_line_dedup_of_nothing(spark, make, stored):
     assert line_dedup.drop_repeated_lines(make(["a"]).limit(0)).count() == 0
     got = by_id(queries.op7_line_dedup(spark, stored([None, "", "a\n\nb"])))
