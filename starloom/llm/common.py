@@ -146,8 +146,10 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 def shards_for(df: DataFrame, shard_bytes: int, least: int = 4) -> int:
-    """A power of two: one shard for so many bytes of a table, as Spark estimates its size."""
+    """A power of two: one shard for so many bytes of a table, as Spark estimates its size. Where that is no estimate (over 2**50: rows not from files, joins), the texts are measured."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 50:
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return 1 << (max(least, -(-size // shard_bytes)) - 1).bit_length()
 
 

@@ -5,8 +5,8 @@ texts are their end token. Contexts before a text's first word are a begin token
 
 Counting. Workers hash words to 64 bits, an n-gram to a hash of its context's and its suffix's hash, and sort
 and count about `flush` tokens at a time; what a task has counted goes to the shuffle as sorted arrays, dealt by
-the n-gram's own hash, so a frequent word or context weighs no more than any other. A shard merges its arrays,
-and yields its n-grams' adjusted counts (raw counts at the highest order, the number of distinct left neighbours
+the n-gram's own hash, so a frequent word or context weighs no more than any other. A shard, of about `shard_bytes` of
+input whatever the size of the whole, is a task of its own; it merges its arrays and yields its n-grams' adjusted counts (raw counts at the highest order, the number of distinct left neighbours
 below), and for contexts and suffixes partial sums that are merged by their own hashes in a further step.
 `key_bytes` bytes of a context's or suffix's hash travel (5: 40 bits); two words that share them share bigrams,
 which at 10 million words happens to about one in 100,000. Single words keep all 64 bits.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import Lookup, pack, save, shard_edges, summed, unpack
-from .common import discard, kept, lean, mix64, release, scratch, shards_for, slices, small_batches
+from .common import by_shard, discard, kept, lean, mix64, release, scratch, shards_for, slices, small_batches
 
 BLOCKS = "kind string, ord int, shard int, a binary, b binary, n binary"
 NAMES = ["kind", "ord", "shard", "a", "b", "n"]
@@ -86,14 +86,40 @@ def key_of(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     return mix64(context * np.uint64(3) + mix64(suffix))
 
 
+def narrow(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers, each in the fewest bytes that hold all of it, and which that is."""
+    out = []
+    for x in columns:
+        kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype("u1")
+        out += [bytes([kind.itemsize]), x.astype(kind).tobytes()]
+    return b"".join(out)
+
+
+def widened(raw: bytes, n: int) -> list[np.ndarray]:
+    """The columns of n numbers as 64-bit ones."""
+    out, at = [], 0
+    while at < len(raw):
+        out.append(np.frombuffer(raw, f"<u{raw[at]}", n, at + 1).astype(np.int64))
+        at += 1 + n * raw[at]
+    return out
+
+
 def _rows(kind: str, order: int, shards: int, route: np.ndarray, bits: int, a: tuple[np.ndarray, int], b: tuple[np.ndarray, int] | None, n: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Blocks by shard: the first bits of `route` (a `bits`-bit number, ascending)."""
     edges = shard_edges(route, shards, bits)
-    for shard in range(shards):
-        for i in range(int(edges[shard]), int(edges[shard + 1]), BLOCK):
-            j = min(i + BLOCK, int(edges[shard + 1]))
-            row = [kind, order, shard, pack(a[0][i:j], a[1]), pack(b[0][i:j], b[1]) if b else b"", b"".join(x[i:j].astype("<u4").tobytes() for x in n)]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], NAMES)
+    cuts = np.union1d(edges, np.arange(0, len(route) + 1, BLOCK))
+    first, last = cuts[:-1], cuts[1:]
+    if not len(first):
+        return
+    shard = np.searchsorted(edges, first, "right") - 1
+    cut = lambda x: _cut(pack(x[0], x[1]), cuts * x[1])
+    same = len(first)
+    numbers = pa.array([narrow([x[i:j] for x in n]) for i, j in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array([kind] * same), pa.array(np.full(same, order, np.int32)), pa.array(shard.astype(np.int32)), cut(a), cut(b) if b else pa.array([b""] * same, pa.binary()), numbers], NAMES)
+
+
+def _cut(data: bytes, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
 
 
 def _count(order: int, shards: int, width: int, flush: int):
@@ -125,12 +151,24 @@ def _count(order: int, shards: int, width: int, flush: int):
 
 # ---- merging
 
-def _parts(tables: pa.Table, kind: str) -> list[tuple[bytes, bytes, bytes]]:
-    return [(a.as_py(), b.as_py(), n.as_py()) for k, a, b, n in zip(*(tables.column(c) for c in ("kind", "a", "b", "n")), strict=True) if k.as_py() == kind]
+def _read(group: Iterator[pa.RecordBatch], *kinds: str) -> dict[str, list[tuple[bytes, bytes, bytes]]]:
+    """The blocks of a group by their kind."""
+    out: dict[str, list[tuple[bytes, bytes, bytes]]] = {k: [] for k in kinds}
+    for batch in group:
+        for k, a, b, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b", "n")), strict=True):
+            if k in out:
+                out[k].append((a, b, n))
+    return out
+
+
+def _numbers(parts: list[tuple[bytes, bytes, bytes]], width: int) -> list[np.ndarray]:
+    """The columns of numbers of all blocks, in a row. width: of a block's keys a."""
+    found = [widened(n, len(a) // width) for a, _, n in parts]
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)]
 
 
-def _table(batches: list[pa.RecordBatch]) -> pa.Table:
-    return pa.Table.from_batches(batches) if batches else pa.table({"kind": pa.array([], pa.string()), "ord": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in "abn"}})
+def _summed(order: int, shard: int, a: bytes, b: bytes, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(["sum"]), pa.array([order], pa.int32()), pa.array([shard], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary()), pa.array([narrow([n])], pa.binary())], NAMES)
 
 
 def _small(kind: str, order: int, shard: int, values: np.ndarray) -> pa.RecordBatch:
@@ -158,20 +196,19 @@ def _finish(folder: str, order: int, top: int, shards: int, width: int, shard: i
 def _merge_raw(folder: str, top: int, shards: int, width: int):
     """Groups of one order and shard: the highest order is finished, lower ones are merged and handed on."""
 
-    def run(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, shard = key[0].as_py(), key[1].as_py()
-        parts = _parts(_table(list(group)), "raw")
-        n = np.concatenate([np.frombuffer(p[2], "<u4") for p in parts]).astype(np.int64)
+    def run(key: tuple[int, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, order = key
+        parts = _read(group, "raw")["raw"]
         if order == 1:
-            keys, _, n = summed(np.concatenate([unpack(p[0], 8) for p in parts]), n)
-            yield pa.RecordBatch.from_arrays([pa.array(["sum"]), pa.array([1], pa.int32()), pa.array([shard], pa.int32()), pa.array([pack(keys, 8)]), pa.array([b""], pa.binary()), pa.array([n.astype("<u8").tobytes()])], NAMES)
+            keys, _, n = summed(np.concatenate([unpack(p[0], 8) for p in parts]), _numbers(parts, 8)[0])
+            yield _summed(1, shard, pack(keys, 8), b"", n)
             return
         context, suffix = (np.concatenate([unpack(p[k], width) for p in parts]) for k in (0, 1))
-        keys, at, n = summed(key_of(context, suffix), n)
+        keys, at, n = summed(key_of(context, suffix), _numbers(parts, width)[0])
         if order == top:
             yield from _finish(folder, order, top, shards, width, shard, context[at], suffix[at], keys, n)
         else:
-            yield pa.RecordBatch.from_arrays([pa.array(["sum"]), pa.array([order], pa.int32()), pa.array([shard], pa.int32()), pa.array([pack(context[at], width)]), pa.array([pack(suffix[at], width)]), pa.array([n.astype("<u8").tobytes()])], NAMES)
+            yield _summed(order, shard, pack(context[at], width), pack(suffix[at], width), n)
 
     return run
 
@@ -180,14 +217,14 @@ def _merge_lower(folder: str, order: int, top: int, shards: int, width: int):
     """A shard of a lower order: its merged n-grams meet the numbers of their left neighbours."""
     cut = np.uint64(64 - 8 * width)
 
-    def run(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = key[0].as_py()
-        rows = _table(list(group))
-        sums, left = _parts(rows, "sum"), _parts(rows, "left")
+    def run(key: tuple[int, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = key[0]
+        rows = _read(group, "sum", "left")
+        sums, left = rows["sum"], rows["left"]
         if not sums:
             return
-        number = np.concatenate([np.frombuffer(p[2], "<u8") for p in sums]).astype(np.int64)
-        seen, _, lefts = summed(np.concatenate([unpack(p[0], width) for p in left] or [np.zeros(0, np.uint64)]), np.concatenate([np.frombuffer(p[2], "<u4") for p in left] or [np.zeros(0, np.uint32)]).astype(np.int64))
+        number = _numbers(sums, 8 if order == 1 else width)[0]
+        seen, _, lefts = summed(np.concatenate([unpack(p[0], width) for p in left] or [np.zeros(0, np.uint64)]), _numbers(left, width)[0])
 
         def adjusted(keys: np.ndarray) -> np.ndarray:
             if not len(seen):
@@ -200,7 +237,7 @@ def _merge_lower(folder: str, order: int, top: int, shards: int, width: int):
             a = adjusted(keys)
             save(folder, f"word.{shard}.key", keys.astype("<u8"))
             save(folder, f"word.{shard}.count", number.astype("<u8"))
-            save(folder, f"word.{shard}.n", np.minimum(a, 2**32 - 1).astype("<u4"))
+            save(folder, f"word.{shard}.n", a.astype("<u8"))
             yield _small("seen", 1, shard, np.array([*((a == c).sum() for c in (1, 2, 3, 4)), len(keys), number.sum(), a.sum(), (a >= 3).sum()]))
             return
         context, suffix = (np.concatenate([unpack(p[k], width) for p in sums]) for k in (0, 1))
@@ -224,11 +261,11 @@ def discounts(seen: np.ndarray) -> tuple[float, float, float]:
 
 
 def _merge_contexts(folder: str, order: int, width: int, d: tuple[float, float, float]):
-    def run(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = key[0].as_py()
-        parts = _parts(_table(list(group)), "context")
+    def run(key: tuple[int, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = key[0]
+        parts = _read(group, "context")["context"]
         keys = np.concatenate([unpack(p[0], width) for p in parts])
-        stats = np.concatenate([np.frombuffer(p[2], "<u4").reshape(4, -1) for p in parts], axis=1).astype(np.int64)
+        stats = np.stack(_numbers(parts, width))
         rank = np.argsort(keys, kind="stable")
         k = keys[rank]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -252,7 +289,7 @@ class Model:
 def train(docs: DataFrame, order: int = 2, shards: int | None = None, key_bytes: int = 5, flush: int = 3_000_000, shard_bytes: int = 16 << 20) -> Model:
     """Counts the texts of docs. order: 2 or 3. shards: a power of two; by default one for so many bytes of input, as Spark estimates it.
 
-    Each shard sends every other one what it has found of its contexts and suffixes, so shards should be no more than memory asks for.
+    Each shard sends every other one what it has found of its contexts and suffixes, at most a number per n-gram.
     """
     if order not in (2, 3):
         raise ValueError("order must be 2 or 3")
@@ -262,7 +299,7 @@ def train(docs: DataFrame, order: int = 2, shards: int | None = None, key_bytes:
     folder = scratch(spark, "kneser-ney")
     counted = docs.select("text").mapInArrow(lean(_count(order, shards, key_bytes, flush)), BLOCKS)
     paths = [scratch(spark, "ngrams")]
-    rows = kept(counted.groupBy("ord", "shard").applyInArrow(_merge_raw(folder, order, shards, key_bytes), BLOCKS), paths[0])
+    rows = kept(by_shard(counted, shards, _merge_raw(folder, order, shards, key_bytes), BLOCKS, "shard", "ord"), paths[0])
     del counted
     release(spark)
     d: dict[int, tuple[float, float, float]] = {}
@@ -270,12 +307,12 @@ def train(docs: DataFrame, order: int = 2, shards: int | None = None, key_bytes:
         if k < order:
             paths.append(scratch(spark, "ngrams"))
             below = rows.where((F.col("ord") == k) & F.col("kind").isin("sum", "left"))
-            rows = rows.unionAll(kept(below.groupBy("shard").applyInArrow(_merge_lower(folder, k, order, shards, key_bytes), BLOCKS), paths[-1]))
+            rows = rows.unionAll(kept(by_shard(below, shards, _merge_lower(folder, k, order, shards, key_bytes), BLOCKS, "shard"), paths[-1]))
         seen = [np.frombuffer(bytes(r[0]), "<i8") for r in rows.where((F.col("ord") == k) & (F.col("kind") == "seen")).select("n").toLocalIterator()]
         total = np.sum(seen, axis=0) if seen else np.zeros(8, np.int64)
         d[k] = discounts(total)
         if k > 1:
-            made = rows.where((F.col("ord") == k) & (F.col("kind") == "context")).groupBy("shard").applyInArrow(_merge_contexts(folder, k, key_bytes, d[k]), BLOCKS)
+            made = by_shard(rows.where((F.col("ord") == k) & (F.col("kind") == "context")), shards, _merge_contexts(folder, k, key_bytes, d[k]), BLOCKS, "shard")
             made.agg(F.count("*")).collect()  # the files are what it is for
     kinds, tokens, lefts, many = (int(x) for x in total[4:])
     gamma = (d[1][0] * int(total[0]) + d[1][1] * int(total[1]) + d[1][2] * many) / lefts if lefts else 1.0
@@ -286,7 +323,7 @@ def train(docs: DataFrame, order: int = 2, shards: int | None = None, key_bytes:
 class Scorer:
     def __init__(self, m: Model) -> None:
         self.m, self.known = m, WordHashes()
-        self.words = Lookup(m.folder, "word", m.shards, 64, {"count": "<u8", "n": "<u4"})
+        self.words = Lookup(m.folder, "word", m.shards, 64, {"count": "<u8", "n": "<u8"})
         self.grams = {k: Lookup(m.folder, f"gram{k}", m.shards, 64, {"n": "u1"}) for k in range(2, m.order + 1)}
         self.many = {k: Lookup(m.folder, f"many{k}", m.shards, 64, {"n": "<u8"}) for k in range(2, m.order + 1)}
         self.contexts = {k: Lookup(m.folder, f"context{k}", m.shards, 8 * m.width, {"total": "<f8", "gamma": "<f4"}) for k in range(2, m.order + 1)}
