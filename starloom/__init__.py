@@ -17,6 +17,7 @@ from .sources.config import Likelihood, MCMCConfig, ModelParameter, PerturberSpe
 
 __version__ = "0.1.0"
 
+#: Public names.
 __all__ = [
     "Chain", "ChainSet", "Collection", "Likelihood", "MCMCConfig", "MCMCRun", "MVNFit", "MaxResult", "ModelCollection", "ModelParameter", "OutputIndex", "OutputMeta", "PerturberSpec", "PosteriorSamples",
     "PriorSpec", "ProjectionPursuitResult", "RhatResult", "Units", "acceptance_rate", "acceptance_rate_trace", "apply_state", "autocorrelation_function", "autocorrelation_time", "convergence_step", "convert_units",

@@ -33,9 +33,11 @@ def plain_tex(label: str) -> str:
     return label
 
 
-def some_ids(ids: Sequence[int], most: int = 20) -> str:
+def some_ids(ids: Sequence[int], most: int = 20, total: int | None = None) -> str:
+    """The first ids, and how many more there are; total: their number, if only the first are given."""
     shown = ", ".join(str(i) for i in ids[:most])
-    return shown if len(ids) <= most else f"{shown}, … ({len(ids) - most} more)"
+    more = (len(ids) if total is None else total) - most
+    return shown if more <= 0 else f"{shown}, … ({more} more)"
 
 
 def last_component(name: str) -> str:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import functools
+import numbers
 import warnings
 from collections.abc import Iterator, Mapping, Sequence
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ..sources import discovery, hdf5, store
 from . import analyses as an
 from . import history
 from .outputs import OutputIndex
-from .reading import PLACE, column_of, read, select_rows
+from .reading import PLACE, ROW, column_of, read, select_rows, take
 from .tables import make_table
 
 
@@ -70,9 +72,9 @@ class Collection:
         return {r["key"]: r["value"] for r in self._attributes if r["path"].strip("/") == path.strip("/")}
 
     def status(self) -> DataFrame:
-        rows = []
-        for i, path in enumerate(self.files):
-            rows.append((i, path, store.table(self.spark, path, "file", store.FILE).first()[0] if self._stores else hdf5.describe(path, self.output_root)["status"]))
+        if self._stores:
+            return store.status(self.spark, self.files)
+        rows = [(i, path, hdf5.describe(path, self.output_root)["status"]) for i, path in enumerate(self.files)]
         return self.spark.createDataFrame(rows, "file_ord int, path string, status_completion int")
 
     def validate_completion(self, mode: str = "error") -> None:
@@ -80,7 +82,7 @@ class Collection:
             raise ValueError(f"mode must be 'error', 'warn' or 'ignore'; got {mode!r}")
         if mode == "ignore":
             return
-        if bad := [r["path"] for r in incomplete_files(self.status()).collect()]:
+        if bad := [r["path"] for r in incomplete_files(self.status()).orderBy("file_ord").collect()]:
             message = f"incomplete files: {', '.join(bad)}"
             if mode == "error":
                 raise RuntimeError(message)
@@ -224,11 +226,23 @@ class Dataset:
     def read(self, where: Column | str | Sequence | None = None) -> DataFrame:
         return select_rows(self.rows(), where)
 
-    def __getitem__(self, selection: slice) -> DataFrame:
-        """Rows of the first file only."""
-        start, stop, step = selection.indices(1 << 62)
-        first = self.rows().where((F.col("file_ord") == 0) & (F.col("row_in_file") >= start) & (F.col("row_in_file") < stop))
-        return (first.where((F.col("row_in_file") - start) % step == 0) if step != 1 else first).orderBy("row_in_file")
+    def __getitem__(self, selection: slice | int | Sequence) -> DataFrame:
+        """Rows of the first file only, selected as from an array: by slice, number, numbers or mask. `position` is the place in the selection."""
+        first = self.rows().where("file_ord = 0")
+        n = first.count()
+        row = F.col("row_in_file")
+        if isinstance(selection, slice):
+            asked = range(*selection.indices(n))
+            low, high = (min(asked), max(asked)) if asked else (0, -1)
+            place = (row - asked.start) / F.lit(asked.step)
+            chosen = first.where(row.between(low, high) & ((row - asked.start) % asked.step == 0))
+            return chosen.withColumn("position", place.cast("long")).orderBy("position")
+        values = np.asarray([selection] if isinstance(selection, numbers.Integral) else selection)
+        if values.dtype == bool:
+            if len(values) != n:
+                raise IndexError(f"the mask has {len(values)} values for {n} rows")
+            values = np.flatnonzero(values)
+        return take(first, values.tolist()).drop(ROW)
 
     def sibling(self, column: str) -> Dataset | None:
         return Dataset(self.collection, self.output, column, f"{self.name.rsplit('/', 1)[0].strip('/')}/{column}") if column_of(column) in self.collection.nodes.columns else None

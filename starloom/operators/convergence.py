@@ -221,7 +221,3 @@ def resolve_post_burn(chains: ChainSet, post_burn: int | None) -> int:
         warnings.warn("the chains have not converged; all rows are used", UserWarning, stacklevel=3)
         return 0
     return used.steps[at]
-
-
-def converged_at(rhat: Column, threshold: float) -> Column:
-    return ~F.isnan(rhat) & (rhat <= threshold)

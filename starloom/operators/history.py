@@ -70,6 +70,12 @@ def never_found(nodes: DataFrame, requests: DataFrame, id_column: str) -> DataFr
     return requests.select("id").distinct().join(nodes.select(F.col(f"`{id_column}`").cast("long").alias("id")), "id", "left_anti")
 
 
+def _named(ids: DataFrame, most: int = 20) -> str:
+    """The smallest ids and the number of the others; no more than these reach the driver."""
+    first = [r[0] for r in ids.orderBy("id").limit(most + 1).collect()]
+    return some_ids(first, most, ids.count() if len(first) > most else None)
+
+
 def pivoted(traced: DataFrame, labels: Sequence[str]) -> DataFrame:
     """One row per request, an array over the outputs for each of the labels, time, expansion_factor, redshift and present."""
     fields = ["present", "time", "expansion_factor", *labels]
@@ -128,16 +134,14 @@ def trace_galaxy_history(collection, ids: Sequence[int], properties: Sequence[st
     per = asked.groupBy("output_name", "id").agg(F.countDistinct("file_ord").alias("files"), F.count("*").alias("n"))
     state = per.agg(F.coalesce(F.max("files"), F.lit(0)), F.coalesce(F.max(F.col("n") - F.col("files")), F.lit(0))).first()
     if state[0] > 1 and on_duplicate_file_match != "first":
-        some = [r[0] for r in per.where("files > 1").select("id").distinct().orderBy("id").limit(21).collect()]
-        message = f"ids found in several files: {some_ids(some)}"
+        message = f"ids found in several files: {_named(per.where('files > 1').select('id').distinct())}"
         if on_duplicate_file_match == "error":
             raise ValueError(message)
         warnings.warn(f"{message}; the first file's rows are used", UserWarning, stacklevel=2)
     if state[1] > 0:
         warnings.warn("some ids stand several times in one file; the lowest row is used", UserWarning, stacklevel=2)
-    lost = [r[0] for r in requests.select("id").distinct().join(asked.select("id").distinct(), "id", "left_anti").orderBy("id").collect()]
-    if lost:
-        warnings.warn(f"ids found in no output: {some_ids(lost)}", UserWarning, stacklevel=2)
+    if lost := _named(requests.select("id").distinct().join(asked.select("id").distinct(), "id", "left_anti")):
+        warnings.warn(f"ids found in no output: {lost}", UserWarning, stacklevel=2)
     slots = spark.createDataFrame([(i, m.name, m.time, m.scale_factor) for i, m in enumerate(chosen)], "slot int, output_name string, time double, scale_factor double")
     out = pivoted(trace(inside, slots, requests, wanted, id_column, int_sentinel, widths), list(wanted))
     return out.withMetadata("present", {"output_names": [m.name for m in chosen]})

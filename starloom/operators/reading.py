@@ -52,14 +52,28 @@ def take(nodes: DataFrame, where: Sequence[int]) -> DataFrame:
     return rows.join(F.broadcast(wanted) if len(asked) <= 1_000_000 else wanted, ROW).orderBy("position")
 
 
+#: Rows whose flags travel together, as words of 64.
+FLAGS = 1 << 16
+
+
 def mask(nodes: DataFrame, where: Sequence[bool]) -> DataFrame:
-    """Rows where the mask, one value per row of all files, is true."""
+    """Rows where the mask, one value per row of all files, is true. A bit per row is sent, in blocks, and none for blocks without a true value."""
     flags = np.asarray(where, bool)
     n = nodes.count()
     if len(flags) != n:
         raise IndexError(f"the mask has {len(flags)} values for {n} rows")
-    wanted = nodes.sparkSession.createDataFrame([(int(i),) for i in np.flatnonzero(flags)], f"{ROW} long")
-    return numbered(nodes).join(wanted, ROW, "left_semi")
+    blocks = []
+    for at in range(0, n, FLAGS):
+        part = flags[at : at + FLAGS]
+        if part.any():
+            padded = np.zeros(-(-len(part) // 64) * 64, bool)
+            padded[: len(part)] = part
+            blocks.append((at // FLAGS, np.packbits(padded, bitorder="little").view("<i8").tolist()))
+    bits = nodes.sparkSession.createDataFrame(blocks, "block long, words array<long>")
+    row = F.col(ROW)
+    rows = numbered(nodes).join(F.broadcast(bits) if n <= 1 << 28 else bits, F.floor(row / FLAGS) == F.col("block"))
+    word = F.get("words", ((row % FLAGS) / 64).cast("int"))
+    return rows.where(F.getbit(word, (row % 64).cast("int")) == 1).drop("block", "words")
 
 
 def select_rows(nodes: DataFrame, where: Column | str | Sequence | None) -> DataFrame:

@@ -25,8 +25,8 @@ LEADING = 6
 
 
 def discover_chain_files(log_file_root: str | Path) -> list[Path]:
-    root = Path(log_file_root)
-    return [Path(p) for p in sorted(glob.glob(f"{glob.escape(str(root))}_[0-9][0-9][0-9][0-9].log"))]
+    """The logs of all ranks, in order."""
+    return [Path(p) for p in sorted(glob.glob(f"{glob.escape(str(Path(log_file_root)))}_[0-9][0-9][0-9][0-9].log"))]
 
 
 @dataclass(frozen=True)

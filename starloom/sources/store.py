@@ -14,9 +14,12 @@ Columns named with a slash stand for properties outside nodeData.
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,19 +55,53 @@ def table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/{name}.parquet")
 
 
-def nodes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The rows of all files: output_name, file_ord, row_in_file and the first file's columns."""
-    parts = []
-    schema = spark.read.parquet(f"{paths[0]}/nodes").schema
+def _roots(spark: SparkSession, paths: list[str], below: str) -> DataFrame:
+    """file_ord, path, and the folder as Spark names it in _metadata.file_path."""
+    rows = []
     for i, path in enumerate(paths):
-        parts.append(spark.read.parquet(f"{path}/nodes").withColumn("file_ord", F.lit(i)))
-    missing = [(paths[i], c) for i, p in enumerate(parts) for c in schema.names if c not in p.columns]
-    if missing:
-        raise KeyError(f"{missing[0][1]!r} is missing in {missing[0][0]}")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part.select(out.columns))
-    return out
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{below}")
+        rows.append((i, path, re.sub("^file:/+", "file:/", at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString())))
+    return spark.createDataFrame(rows, "file_ord int, path string, root string")
+
+
+def _place() -> Column:
+    """A row's file; local ones may be written with one slash or three."""
+    return F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
+
+
+def _columns(spark: SparkSession, path: str) -> set[str]:
+    """The columns of a file's rows; of a mounted file from one footer, without a job."""
+    if "://" not in path:
+        for folder, _, names in os.walk(f"{path}/nodes"):
+            for name in names:
+                if name.endswith(".parquet"):
+                    return {"output_name", *pq.read_schema(f"{folder}/{name}").names}
+    return set(spark.read.parquet(f"{path}/nodes").columns)
+
+
+def nodes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The rows of all files: output_name, file_ord, row_in_file and the first file's columns. One scan, however many files: a row's file is told by its path."""
+    first = spark.read.parquet(f"{paths[0]}/nodes")
+    if len(paths) == 1:
+        return first.withColumn("file_ord", F.lit(0))
+    for path in paths[1:]:
+        if missing := [c for c in first.columns if c not in _columns(spark, path)]:
+            raise KeyError(f"{missing[0]!r} is missing in {path}")
+    if len(set(paths)) < len(paths):  # a scan reads a path once
+        parts = [spark.read.schema(first.schema).parquet(f"{p}/nodes").withColumn("file_ord", F.lit(i)) for i, p in enumerate(paths)]
+        return functools.reduce(DataFrame.unionAll, parts)
+    # partitions of several folders are not discovered together, so the output is told by the path too; conditions on it still choose files, not rows
+    plain = T.StructType([f for f in first.schema if f.name != "output_name"])
+    rows = spark.read.schema(plain).option("recursiveFileLookup", "true").parquet(*[f"{p}/nodes" for p in paths])
+    part = lambda k: F.regexp_extract(_place(), "^(.*)/output_name=([^/]*)/[^/]*$", k)
+    rows = rows.select(*plain.names, part(2).alias("output_name"), part(1).alias("__root"))
+    return rows.join(F.broadcast(_roots(spark, paths, "nodes")).select("file_ord", F.col("root").alias("__root")), "__root").select(*first.columns, "file_ord")
+
+
+def status(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file_ord, path, status_completion of all files, by one scan."""
+    found = spark.read.schema(FILE).parquet(*[f"{p}/file.parquet" for p in dict.fromkeys(paths)]).select("status_completion", F.regexp_extract(_place(), "^(.*)/[^/]*$", 1).alias("root"))
+    return F.broadcast(_roots(spark, paths, "file.parquet")).join(found, "root", "left").select("file_ord", "path", "status_completion")
 
 
 def ingest(spark: SparkSession, source: str, path: str, output_root: str = "Outputs") -> None:

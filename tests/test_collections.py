@@ -48,14 +48,25 @@ def test_reading(spark, files):
     assert masses(read([2, 0, -1, 2])) == [3e12, 1e12, 4e12, 3e12]
     assert masses(read([])) == []
     assert c.read(np.int64(2), ["nodeData/spin"]).first()["nodeData/spin"] == 0.15
+    d = c["Outputs/Output1/nodeData/basicMass"]
+    own = np.array([1e12, 2e12])  # the first file's
+    for key in (slice(-2, None), slice(None, -1), slice(None, None, -1), slice(5, None), slice(1, None, -2), slice(0, 9, 3), 0, -1, [1, 0, 1, -1], [], [True, False]):
+        assert [r["value"] for r in d[key].orderBy("position").collect()] == np.atleast_1d(own[np.array(key, int) if key == [] else key]).tolist(), key
+    for bad in (2, [0, 5], [True]):
+        with pytest.raises(IndexError):
+            d[bad]
+    assert starloom.open_outputs(spark, [files[0], files[0]]).read(1, ["spin"]).count() == 4
     for bad in ([7], [True]):
         with pytest.raises(IndexError):
             read(bad)
     for bad in (lambda: c.read(9, ["spin"]), lambda: c.read(1, ["nope"])):
         with pytest.raises(KeyError):
             bad()
-    plan = read("spin > 0.15")._jdf.queryExecution().executedPlan().toString()
-    assert "spin" in plan.split("PushedFilters")[1] and "PartitionFilters: [isnotnull(output_name" in plan
+    plan = lambda c: c.read(1, {"m": "nodeData/basicMass"}, "spin > 0.15")._jdf.queryExecution().executedPlan().toString()
+    one = plan(starloom.open_outputs(spark, files[0]))
+    assert "spin" in one.split("PushedFilters")[1] and "PartitionFilters: [isnotnull(output_name" in one
+    both = plan(c)
+    assert both.count("FileScan") == 1 and "spin" in both.split("PushedFilters")[1] and "file_path" in both.split("DataFilters")[1]
 
 
 def test_metadata(spark, files):
