@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from starloom.plans import facade_queries  # noqa: F401
 from starloom.plans import queries as plan
 
 DATA = "/root/testdata/sf0.001"
