@@ -144,12 +144,6 @@ def last_states(spark, d):
     return convergence.last_states(a.chain_rows(spark, d)).select("chain_index", F.element_at("state", 1).alias("v0"), F.element_at("state", 2).alias("v1"))
 
 
-@query()
-def outlier_chains(spark, d):
-    found = convergence.outlier_chains(chain_source.from_rows(config(), a.chain_rows(spark, d, 8)))
-    return spark.createDataFrame([(i, int(x)) for i, x in enumerate(found)], "place long, chain_index long")
-
-
 ACF = f"""{CH}, l as (select chain_index, param_idx, row_idx, v, avg(v) over (partition by chain_index, param_idx) m from lg, nm where row_idx < nm.n),
 d as (select chain_index, param_idx, row_idx, v - m d from l),
 s as (select x.chain_index, x.param_idx, lag, sum(x.d * y.d) s from d x, range(0, 21) t(lag) join d y on y.chain_index = x.chain_index and y.param_idx = x.param_idx and y.row_idx = x.row_idx + lag group by all)"""
@@ -204,12 +198,6 @@ def posterior_rows(spark, d):
     return summaries.drawn(pool, [0, 7, 7, 3, 100]).select("draw_pos", "pool_row", "step", F.element_at("state", 1).alias("v0"))
 
 
-@query()
-def posterior_samples(spark, d):
-    s = summaries.posterior_samples(chain_set(spark, d), 100, post_burn=0, rng=np.random.default_rng(7))
-    return spark.createDataFrame([(i, int(c), int(t), float(x)) for i, (c, t, x) in enumerate(zip(s.chain_index, s.step, s.state[:, 0], strict=True))], "draw_pos long, chain_index long, step long, v0 double")
-
-
 @query(f"with {CH} select 0::bigint param_idx, round(avg(v0), 6) mean from ch union all select 1, round(avg(v1), 6) from ch")
 def mvn_mean(spark, d):
     fit = summaries.multivariate_normal_fit(chain_set(spark, d), post_burn=0)
@@ -364,11 +352,6 @@ def duplicate_ids(spark, d):
     return history.first_matches(nodes, "id").select("output_name", "id", "row_in_file", "copies")
 
 
-@query("select c_custkey id from customer where c_custkey not in (select o_custkey from orders)")
-def never_found_ids(spark, d):
-    return history.never_found(a.history_nodes(spark, d), a.customers_asked(spark, d), "nodeUniqueIDBranchTip")
-
-
 # ---- nested arrays
 
 SH = "c as (select l_suppkey, l_linenumber, sum(l_quantity) q from lineitem group by all), s as (select distinct l_suppkey from lineitem), f as (select l_suppkey, i, coalesce(q, 0.0) q from s cross join range(1, 8) t(i) left join c on c.l_suppkey = s.l_suppkey and l_linenumber = i)"

@@ -1,7 +1,7 @@
 """HDF5 files as a Python data source: one input partition per file and row range.
 
-h5py is imported where it is used and nowhere else; it is not part of the test environment, so this module is untested
-there and everything else works without it. Files are opened by Python, not by Spark: their names may hold
+h5py is imported where it is used and nowhere else, and everything else works without it. Tests run this module with a
+stand-in for h5py. Files are opened by Python, not by Spark: their names may hold
 colons. `columns` names the datasets to open, as Python sources have no column pruning of their own.
 """
 
@@ -137,13 +137,13 @@ class Hdf5Source(DataSource):
     def name(cls) -> str:
         return "simulation_hdf5"
 
-    def schema(self) -> T.StructType:
+    def schema(self) -> str:
         path = self.options["files"].split("\n")[0]
         with _h5py().File(path, "r") as f:
             group = f[self.options["group"]]
             names = self.options["columns"].split("\n") if self.options.get("columns") else sorted(n for n in group if hasattr(group[n], "shape"))
             kinds = [(n, spark_type(group[n])) for n in names]
-        return T._parse_datatype_string(", ".join(["file_ord int", "row_in_file long", *(f"`{n}` {k}" for n, k in kinds)]))
+        return ", ".join(["file_ord int", "row_in_file long", *(f"`{n}` {k}" for n, k in kinds)])  # as text: this runs where there is no session
 
     def reader(self, schema: T.StructType) -> _Reader:
         return _Reader(dict(self.options), schema)
