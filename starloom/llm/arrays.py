@@ -8,6 +8,7 @@ import urllib.parse
 import uuid
 
 import numpy as np
+import pyarrow as pa
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -21,6 +22,11 @@ def unpack(raw: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
+def cut(data: bytes, offsets: np.ndarray) -> pa.Array:
+    """Joined bytes as one row from each offset to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
 def summed(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, an index of each, and its summed weight (or number)."""
     order = np.argsort(keys, kind="stable")

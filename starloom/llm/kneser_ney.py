@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import Lookup, pack, save, shard_edges, summed, unpack
+from .arrays import Lookup, cut, pack, save, shard_edges, summed, unpack
 from .common import by_shard, discard, kept, lean, mix64, release, scratch, shards_for, slices, small_batches
 
 BLOCKS = "kind string, ord int, shard int, a binary, b binary, n binary"
@@ -112,14 +112,10 @@ def _rows(kind: str, order: int, shards: int, route: np.ndarray, bits: int, a: t
     if not len(first):
         return
     shard = np.searchsorted(edges, first, "right") - 1
-    cut = lambda x: _cut(pack(x[0], x[1]), cuts * x[1])
+    rows = lambda x: cut(pack(x[0], x[1]), cuts * x[1])
     same = len(first)
     numbers = pa.array([narrow([x[i:j] for x in n]) for i, j in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array([kind] * same), pa.array(np.full(same, order, np.int32)), pa.array(shard.astype(np.int32)), cut(a), cut(b) if b else pa.array([b""] * same, pa.binary()), numbers], NAMES)
-
-
-def _cut(data: bytes, offsets: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
+    yield pa.RecordBatch.from_arrays([pa.array([kind] * same), pa.array(np.full(same, order, np.int32)), pa.array(shard.astype(np.int32)), rows(a), rows(b) if b else pa.array([b""] * same, pa.binary()), numbers], NAMES)
 
 
 def _count(order: int, shards: int, width: int, flush: int):

@@ -7,14 +7,17 @@ string crosses documents; strings are judged on the input.
    have equal representatives. A first scan counts the representatives of all documents (a value per run of
    windows that one gram represents); those met twice are kept as sorted arrays in the shared folder. All other windows
    are unique: nothing is lost by leaving them out.
-2. A second scan cuts out, for each run of windows with a repeated representative, the run's bytes, and deals
+2. A representative of more than `heavy` runs (a short line in a third of all documents, say) would fill one shard.
+   Its windows are represented anew by longer grams, counted in a scan of their own, and where these are heavy too by all
+   of their bytes: equal windows still meet, and nothing heavy is left but copies of one window.
+3. Another scan cuts out, for each run of windows with a repeated representative, the run's bytes, and deals
    them by the representative into shards of about `shard_bytes`. Equal strings always meet in one shard. Runs of
    equal bytes are collapsed to their earliest in each task and again in the shard, so that a passage which a
    third of all documents hold is sent once by each task.
-3. Each shard's runs are sorted by suffix, with common-prefix values, by induction from disk-backed queues
-   (`suffix_array`): suffixes that share `length` bytes stand together, and all but the earliest are marked.
-   A shard may be far larger than the `queue_items` kept in memory.
-4. Marked spans are gathered per document and cut out.
+4. Each shard's runs are written to a local file and sorted by suffix, with common-prefix values, by induction from
+   disk-backed queues (`suffix_array`): suffixes that share `length` bytes stand together, and all but the earliest are marked.
+   About `queue_items` items are held in memory, however large the shard.
+5. Marked spans are gathered per document and cut out.
 
 Defined cases. Null text: empty. Texts under `length` bytes lose nothing. A null doc_id comes after all others. Rows
 that share a doc_id have the same rank: equal places of two of them are not earlier than each other, so what only they
@@ -32,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Lookup, pack, save, shard_edges, summed, unpack
-from .common import as_bytes, discard, kept, lean, mix64, release, scratch, shards_for, slices, small_batches
-from .suffix_array import BREAK, buckets
+from .arrays import Lookup, cut, pack, save, shard_edges, summed, unpack
+from .common import as_bytes, by_shard, discard, kept, lean, mix64, release, scratch, shards_for, slices, small_batches
+from .suffix_array import BREAK, CAP, PAD, TAGGED, Column, Queues, by_place, descending
 
 COUNTED = "shard int, keys binary, n binary"
 RUNS = "shard int, docs binary, prints binary, starts binary, sizes binary, data binary, spans binary"
 BLOCK = 1 << 15  # keys in a row: rows are small, as an Arrow batch holds many
 LAST = (1 << 63) - 1  # stands for a null doc_id
-SPAN = np.dtype([("doc", "<i8"), ("print", "<i8"), ("start", "<i8"), ("end", "<i8")])
+RUN = np.dtype([("begin", "<i8"), ("size", "<i8"), ("doc", "<i8"), ("print", "<i8"), ("start", "<i8")])
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
@@ -73,49 +76,71 @@ def representatives(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarra
     return ((np.minimum(low[:-rest], low[rest:]) if rest else low) & mask).astype(np.int64), hashes
 
 
-def window_runs(texts: list[bytes | None], length: int, gram: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The joined texts, and for each run of windows of one text that the same gram represents: the text, first window, last window + 1 (places in the joined text), representative."""
-    raw = b"".join(t or b"" for t in texts)
-    sizes = np.array([len(t) if t else 0 for t in texts], np.int64)
-    begins = np.cumsum(sizes) - sizes
-    low, hashes = representatives(np.frombuffer(raw, np.uint8), length, gram)
-    if not len(low):
+class Windows:
+    """Joined texts, and which of their places begin a window of one text."""
+
+    def __init__(self, texts: list[bytes | None], length: int) -> None:
+        self.raw, self.length = b"".join(t or b"" for t in texts), length
+        self.data = np.frombuffer(self.raw, np.uint8)
+        sizes = np.array([len(t) if t else 0 for t in texts], np.int64)
+        self.begins = np.cumsum(sizes) - sizes
+        self.long = np.flatnonzero(sizes >= length)
+        self.inside = np.zeros(max(0, len(self.data) - length + 1), bool)
+        if len(self.long):
+            edge = np.zeros(len(self.inside) + 1, np.int8)
+            edge[self.begins[self.long]] += 1
+            np.add.at(edge, self.begins[self.long] + sizes[self.long] - length + 1, -1)
+            self.inside = np.cumsum(edge[:-1]) > 0
+        self.wanted = self.inside
+
+    def runs(self, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each run of wanted windows that the same gram represents: the text, first window, last window + 1 (places in the joined text), representative."""
         none = np.zeros(0, np.int64)
-        return raw, none, none, none, hashes
-    long = np.flatnonzero(sizes >= length)
-    inside = np.zeros(len(low) + 1, np.int8)
-    inside[begins[long]] += 1
-    stops = begins[long] + sizes[long] - length + 1
-    np.add.at(inside, stops, -1)
-    inside = np.cumsum(inside[:-1]) > 0
-    new = np.concatenate([[True], low[1:] != low[:-1]])
-    new[begins[long]] = True
-    new[stops[stops < len(low)]] = True
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(low))
-    first, last = first[inside[first]], last[inside[first]]
-    owner = long[np.searchsorted(begins[long], first, "right") - 1] if len(first) else first
-    return raw, owner, first, last, hashes[low[first]]
-
+        if not self.wanted.any():
+            return none, none, none, none.astype(np.uint64)
+        low, hashes = representatives(self.data, self.length, gram)
+        new = self.wanted & np.concatenate([[True], (low[1:] != low[:-1]) | ~self.wanted[:-1]])
+        at = self.begins[self.long]
+        new[at] = self.wanted[at]
+        first = np.flatnonzero(new)
+        stops = np.append(np.flatnonzero(new | ~self.wanted), len(low))
+        last = stops[np.searchsorted(stops, first, "right")]
+        return self.long[np.searchsorted(at, first, "right") - 1], first, last, hashes[low[first]]
+
+    def only(self, first: np.ndarray, last: np.ndarray) -> None:
+        """From now on only the windows of these runs are wanted."""
+        edge = np.zeros(len(self.wanted) + 1, np.int64)
+        edge[first] += 1
+        np.add.at(edge, last, -1)
+        self.wanted = np.cumsum(edge[:-1]) > 0
+
+
+def _counter(length: int, grams: tuple[int, ...], folder: str, key_shards: int, flush: int = 1_000_000):
+    """Counts the representatives by the last of the grams, of windows whose others are heavy."""
 
-def _counter(length: int, gram: int, shards: int, flush: int = 1_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = [Lookup(folder, f"heavy{k}", key_shards) for k in range(len(grams) - 1)]
         held: list[np.ndarray] = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             keys, _, n = summed(np.concatenate(held))
-            edges = shard_edges(keys, shards)
-            n = np.minimum(n, 255).astype(np.uint8)
-            for s in range(shards):
-                for i in range(int(edges[s]), int(edges[s + 1]), BLOCK):
-                    j = min(i + BLOCK, int(edges[s + 1]))
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(keys[i:j], 8)]), pa.array([n[i:j].tobytes()])], ["shard", "keys", "n"])
+            edges = shard_edges(keys, key_shards)
+            cuts = np.union1d(edges, np.arange(0, len(keys) + 1, BLOCK))
+            if len(cuts) > 1:
+                shard = np.searchsorted(edges, cuts[:-1], "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), cut(pack(keys, 8), 8 * cuts), cut(np.minimum(n, 65535).astype("<u2").tobytes(), 2 * cuts)], ["shard", "keys", "n"])
 
         for batch in batches:
             for _, texts in slices(batch, "text", 512 << 10):
-                held.append(window_runs(texts, length, gram)[4])
-                size += len(held[-1])
+                windows = Windows(texts, length)
+                for k, gram in enumerate(grams):
+                    _, first, last, keys = windows.runs(gram)
+                    if k < len(heavy):
+                        more = heavy[k].has(keys)
+                        windows.only(first[more], last[more])
+                held.append(keys)
+                size += len(keys)
                 if size >= flush:
                     yield from out()
                     held, size = [], 0
@@ -125,15 +150,19 @@ def _counter(length: int, gram: int, shards: int, flush: int = 1_000_000):
     return run
 
 
-def _repeated(folder: str):
-    def run(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(folder: str, level: int, heavy: int):
+    def run(key: tuple[int, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = [], []
         for batch in group:
             keys += [unpack(k.as_py(), 8) for k in batch.column("keys")]
-            n += [np.frombuffer(x.as_py(), np.uint8) for x in batch.column("n")]
+            n += [np.frombuffer(x.as_py(), "<u2") for x in batch.column("n")]
         distinct, _, total = summed(np.concatenate(keys), np.concatenate(n).astype(np.int64))
-        save(folder, f"gram.{key[0].as_py()}.key", distinct[total > 1].astype("<u8"))
-        yield pa.RecordBatch.from_arrays([pa.array([int((total > 1).sum())], pa.int64()), pa.array([int(total[total > 1].sum())], pa.int64())], ["distinct", "runs"])
+        save(folder, f"gram{level}.{key[0]}.key", distinct[total > 1].astype("<u8"))
+        many = total > heavy
+        if many.any():
+            save(folder, f"heavy{level}.{key[0]}.key", distinct[many].astype("<u8"))
+        light = (total > 1) & ~many
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in (total[light].sum(), total[many].sum(), many.sum())], ["runs", "heavy_runs", "heavies"])
 
     return run
 
@@ -143,133 +172,187 @@ def _row(shard: int, docs: list[int], prints: list[int], starts: list[int], data
     return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([v], pa.binary()) for v in (*values, b"".join(data), spans.tobytes()))], [f.split()[0] for f in RUNS.split(", ")])
 
 
-def _cutter(length: int, gram: int, folder: str, key_shards: int, shards: int, flush: int = 24 << 20):
+def united(spans: np.ndarray) -> np.ndarray:
+    """Rows (doc, print, begin, stop), those of one document that overlap or touch as one."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))]
+    other = np.concatenate([[True], (spans[1:, :2] != spans[:-1, :2]).any(axis=1)])
+    far = np.cumsum(other) << 41  # a document's places are below this
+    reach = np.maximum.accumulate(far + spans[:, 3])
+    new = other | np.concatenate([[True], far[1:] + spans[1:, 2] > reach[:-1]])
+    first = np.flatnonzero(new)
+    out = spans[first]
+    out[:, 3] = (reach - far)[np.append(first[1:], len(spans)) - 1]
+    return out
+
+
+class Collapsed:
+    """Runs of bytes with their earliest places; the spans of all other places."""
+
+    def __init__(self) -> None:
+        self.runs: dict[bytes, tuple[int, int, int]] = {}
+        self.same: dict[bytes, set[tuple[int, int, int]]] = {}
+        self.later: list[tuple[int, int, int, int]] = []
+
+    def add(self, data: bytes, place: tuple[int, int, int]) -> bool:
+        """place: doc, start, print. Whether the run is new."""
+        was = self.runs.setdefault(data, place)
+        if was is place:
+            return True
+        if was[:2] == place[:2]:  # of rows that share a doc_id neither is earlier: both travel
+            if was[2] != place[2]:
+                self.same.setdefault(data, set()).add(place)
+            return False
+        if place < was:
+            self.runs[data], place = place, was
+        self.later.append((place[0], place[2], place[1], place[1] + len(data)))
+        return False
+
+    def items(self) -> list[tuple[bytes, tuple[int, int, int]]]:
+        return [*self.runs.items(), *((data, p) for data, places in self.same.items() for p in places)]
+
+    def spans(self) -> np.ndarray:
+        return united(np.array(self.later, "<i8").reshape(-1, 4))
+
+
+def _cutter(length: int, grams: tuple[int, ...], folder: str, key_shards: int, shards: int, flush: int = 24 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated = Lookup(folder, "gram", key_shards)
-        held: list[dict[bytes, tuple[int, int, int]]] = [{} for _ in range(shards)]
-        same: dict[tuple[int, bytes], set[tuple[int, int, int]]] = {}
-        later: list[tuple[int, int, int, int]] = []
-        size = 0
+        repeated = [Lookup(folder, f"gram{k}", key_shards) for k in range(len(grams))]
+        heavy = [Lookup(folder, f"heavy{k}", key_shards) for k in range(len(grams) - 1)]
+        held: dict[int, Collapsed] = {}
+        size = later = turn = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            nonlocal later, size
-            for (s, data), places in same.items():
-                for d, i, p in places:
-                    yield _row(s, [d], [p], [i], [data], np.zeros((0, 4), np.int64))
-            same.clear()
-            spans = np.array(later, np.int64).reshape(-1, 4)
-            for s, own in enumerate(held):
-                runs, places = list(own), list(own.values())
-                ends = np.cumsum([len(r) for r in runs])
-                cuts = [0, *np.flatnonzero(ends[1:] // (8 * BLOCK) > ends[:-1] // (8 * BLOCK)) + 1, len(runs)] if runs else []
+            nonlocal turn
+            for s, own in held.items():
+                items = own.items()
+                ends = np.cumsum([len(data) for data, _ in items])
+                cuts = [0, *np.flatnonzero(ends[1:] // (8 * BLOCK) > ends[:-1] // (8 * BLOCK)) + 1, len(items)] if items else []
                 for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                    docs, starts, prints = zip(*places[i:j], strict=True)
-                    yield _row(s, docs, prints, starts, runs[i:j], spans)
-                    spans = spans[:0]
-                own.clear()
-            later, size = [], 0
+                    docs, starts, prints = zip(*(p for _, p in items[i:j]), strict=True)
+                    yield _row(s, docs, prints, starts, [data for data, _ in items[i:j]], np.zeros((0, 4), "<i8"))
+            spans = united(np.concatenate([own.spans() for own in held.values()])) if held else np.zeros((0, 4), "<i8")
+            for i in range(0, len(spans), BLOCK // 4):  # these are done; every shard takes its share of them along
+                part = spans[i : i + BLOCK // 4]
+                yield _row(int(mix64(part[:1, 0])[0] + np.uint64(turn)) % shards, [], [], [], [], part)
+                turn += 1
+            held.clear()
 
         for batch in batches:
             for rows, texts in slices(batch, "text", 512 << 10):
-                raw, owner, first, last, keys = window_runs(texts, length, gram)
-                some = np.flatnonzero(repeated.has(keys)) if len(keys) else keys.astype(np.int64)
-                if not len(some):
-                    continue
-                owner, first, last = owner[some], first[some], last[some]
-                shard = (mix64(keys[some]) % np.uint64(shards)).astype(np.int64).tolist()
+                windows = Windows(texts, length)
                 docs = rows.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False)
                 prints = rows.column("print").to_numpy(zero_copy_only=False)
-                sizes = np.array([len(t) if t else 0 for t in texts], np.int64)
-                begins = np.cumsum(sizes) - sizes
-                for s, d, p, a, i, j in zip(shard, docs[owner].tolist(), prints[owner].tolist(), (first - begins[owner]).tolist(), first.tolist(), (last + length - 1).tolist(), strict=True):
-                    data, own, place = raw[i:j], held[s], (d, a, p)
-                    was = own.setdefault(data, place)
-                    if was is place:
-                        size += j - i
-                    elif was[:2] == place[:2]:  # of rows that share a doc_id neither is earlier: both travel
-                        if was[2] != p:
-                            same.setdefault((s, data), set()).add(place)
-                    else:
-                        if place < was:
-                            own[data], place = place, was
-                        later.append((place[0], place[2], place[1], place[1] + j - i))
-                if size >= flush or len(later) > 500_000:
+                for k, gram in enumerate(grams):
+                    owner, first, last, keys = windows.runs(gram)
+                    if not len(keys):
+                        break
+                    more = heavy[k].has(keys) if k < len(heavy) else np.zeros(len(keys), bool)
+                    some = np.flatnonzero(repeated[k].has(keys) & ~more)
+                    shard = (mix64(keys[some] + np.uint64(k)) % np.uint64(shards)).astype(np.int64).tolist()
+                    own = owner[some]
+                    begin, stop = first[some], last[some] + length - 1
+                    for s, d, p, a, i, j in zip(shard, docs[own].tolist(), prints[own].tolist(), (begin - windows.begins[own]).tolist(), begin.tolist(), stop.tolist(), strict=True):
+                        if s not in held:
+                            held[s] = Collapsed()
+                        if held[s].add(windows.raw[i:j], (d, a, p)):
+                            size += j - i
+                        else:
+                            later += 1
+                    windows.only(first[more], last[more])
+                if size >= flush or later > 500_000:
                     yield from out()
+                    size = later = 0
         yield from out()
 
     return run
 
 
-def mark(docs: np.ndarray, prints: np.ndarray, starts: np.ndarray, data: list[bytes], length: int, queue_items: int) -> np.ndarray:
-    """Spans of the windows of runs that also start earlier: suffix order puts equal windows together."""
-    if not data:
-        return np.zeros((0, 4), np.int64)
-    sizes = np.array([len(d) for d in data], np.int64)
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    raw = bytes([BREAK]).join(data) + bytes([BREAK])
-    owner = np.repeat(np.arange(len(data)), sizes + 1)
-    inside = np.arange(len(raw)) - begins[owner]
-    window = inside + length <= sizes[owner]
-    rank = np.unique(docs, return_inverse=True)[1]
-    found = []
-    for at, lcp in buckets(raw, queue_items):
-        tied = lcp >= length
-        member = tied | np.append(tied[1:], False)
-        group = np.cumsum(~tied)[member]
-        at = at[member]
-        good = window[at]
-        at, group = at[good], group[good]
-        if not len(at):
-            continue
-        own = owner[at]
-        place = (rank[own].astype(np.uint64) << np.uint64(40)) | (starts[own] + inside[at]).astype(np.uint64)
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        least = np.repeat(np.minimum.reduceat(place, first), np.diff(np.append(first, len(at))))
-        found.append(at[place > least])
-    at = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    if not len(at):
-        return np.zeros((0, 4), np.int64)
-    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    own = owner[at[first]]
-    begin = starts[own] + inside[at[first]]
-    return np.stack([docs[own], prints[own], begin, begin + (at[last] - at[first]) + length], axis=1)
-
-
-def _sorter(length: int, queue_items: int):
-    def run(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[int, int, int]] = {}
-        same: list[tuple[bytes, tuple[int, int, int]]] = []
-        spans: list[np.ndarray] = []
-        later: list[tuple[int, int, int, int]] = []
+class Shard:
+    """A shard's runs on disk: their bytes, each ended by BREAK, and where each stands in the documents."""
+
+    def __init__(self) -> None:
+        self.text, self.runs = Column("u1"), Column(RUN)
+
+    def add(self, own: Collapsed) -> None:
+        items = own.items()
+        if items:
+            sizes = np.array([len(data) for data, _ in items], np.int64)
+            rows = np.empty(len(items), RUN)
+            rows["begin"], rows["size"] = self.text.size + np.cumsum(sizes + 1) - sizes - 1, sizes
+            for name, k in (("doc", 0), ("start", 1), ("print", 2)):
+                rows[name] = [p[k] for _, p in items]
+            self.runs.append(rows)
+            self.text.append(np.frombuffer(bytes([BREAK]).join(data for data, _ in items) + bytes([BREAK]), np.uint8))
+
+    def marked(self, length: int, memory: int, block: int) -> Iterator[np.ndarray]:
+        """Rows (doc, print, begin, stop) of the windows that also start earlier: suffix order puts equal windows together."""
+        n = self.text.size
+        if not n:
+            return
+        self.text.append(np.zeros(PAD, np.uint8))
+        text, runs = self.text.mapped(), self.runs.mapped()
+        begins = runs["begin"]
+        width = max(1, -(-n // (1 + 4 * n // memory)))
+        found = Queues(-(-n // width), TAGGED, memory // 4, block)
+        best = np.zeros(0, RUN), np.zeros(0, np.int64)  # the earliest windows so far of the group that is open: runs and places
+        for at, lcp in descending(text, n, memory, block):
+            tied = lcp >= length
+            group = np.cumsum(~tied)
+            member = tied | np.append(tied[1:], True)
+            at_, group_ = at[member], group[member]
+            own = runs[np.searchsorted(begins, at_, "right") - 1]
+            good = at_ - own["begin"] + length <= own["size"]
+            own = np.concatenate([best[0], own[good]])
+            at_ = np.concatenate([best[1], at_[good]])
+            group_ = np.concatenate([np.zeros(len(best[1]), np.int64), group_[good]])
+            place = own["start"] + at_ - own["begin"]
+            order = np.lexsort((place, own["doc"], group_))
+            own, at_, group_, place = own[order], at_[order], group_[order], place[order]
+            head = np.concatenate([[True], group_[1:] != group_[:-1]])[: len(at_)]
+            least = np.maximum.accumulate(np.where(head, np.arange(len(at_)), 0))
+            earliest = (own["doc"] == own["doc"][least]) & (place == place[least])
+            by_place(found, at_[~earliest], np.zeros(int((~earliest).sum()), np.int64), width)
+            still = earliest & (group_ == group[-1])
+            best = own[still], at_[still]
+        for queue in range(len(found.parts)):
+            at, _ = found.whole(queue)
+            if len(at):
+                at = np.sort(at)
+                run = np.searchsorted(begins, at, "right") - 1
+                first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (run[1:] != run[:-1])]))
+                last = np.append(first[1:], len(at)) - 1
+                own = runs[run[first]]
+                begin = own["start"] + at[first] - own["begin"]
+                yield np.stack([own["doc"], own["print"], begin, begin + (at[last] - at[first]) + length], axis=1)
+
+
+def _sorter(length: int, memory: int, block: int):
+    def run(key: tuple[int, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, size = Shard(), Collapsed(), 0
+
+        def out(spans: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(spans[:, k].copy()) for k in range(4)], ["doc", "print", "begin", "stop"])
+
         for batch in group:
             for r in range(batch.num_rows):
                 docs, prints, starts, sizes = (np.frombuffer(batch.column(c)[r].as_py(), "<i8").tolist() for c in ("docs", "prints", "starts", "sizes"))
-                data = batch.column("data")[r].as_py()
-                spans.append(np.frombuffer(batch.column("spans")[r].as_py(), "<i8").reshape(-1, 4))
-                i = 0
+                data, i = batch.column("data")[r].as_py(), 0
+                if len(spans := np.frombuffer(batch.column("spans")[r].as_py(), "<i8").reshape(-1, 4)):
+                    yield out(spans)
                 for d, p, a, n in zip(docs, prints, starts, sizes, strict=True):
-                    run_, place = data[i : i + n], (d, a, p)
+                    size += n * held.add(data[i : i + n], (d, a, p))
                     i += n
-                    was = held.setdefault(run_, place)
-                    if was is place:
-                        continue
-                    if was[:2] == place[:2]:
-                        if was[2] != place[2]:
-                            same.append((run_, place))
-                        continue
-                    if place < was:
-                        held[run_], place = place, was
-                    later.append((place[0], place[2], place[1], place[1] + n))
-        order = sorted(held.items(), key=lambda x: x[1])
-        extra = [(data, place) for data, place in same]
-        places = [p for _, p in order] + [p for _, p in extra]
-        docs, starts, prints = (np.array([p[k] for p in places], np.int64) for k in range(3))
-        spans.append(np.array(later, np.int64).reshape(-1, 4))
-        spans.append(mark(docs, prints, starts, [d for d, _ in order] + [d for d, _ in extra], length, queue_items))
-        out = np.concatenate(spans)
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, k].copy()) for k in range(4)], ["doc", "print", "begin", "stop"])
+                if size > 4 * memory or len(held.later) > 500_000:
+                    shard.add(held)
+                    yield out(held.spans())
+                    held, size = Collapsed(), 0
+        shard.add(held)
+        yield out(held.spans())
+        del held
+        for spans in shard.marked(length, memory, block):
+            yield out(united(spans))
 
     return run
 
@@ -299,24 +382,35 @@ def _remover(names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, shard_bytes: int = 8 << 20, queue_items: int = 12 << 20) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) of every document. length: at most 100."""
-    if not gram < length <= 100:
-        raise ValueError("gram must be below length, and length at most 100")
+def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, shard_bytes: int = 8 << 20, queue_items: int = 3 << 20, heavy: int | None = None, block: int = 1 << 18) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) of every document.
+
+    length: below CAP, where common-prefix values stop. heavy: runs of one representative from which on it is split; a quarter of a shard by default.
+    """
+    if not gram < length < CAP:
+        raise ValueError(f"gram must be below length, and length below {CAP}")
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("print"))
     key_shards = shards_for(docs, 2 * shard_bytes)
+    heavy = min(60_000, shard_bytes // (4 * length)) if heavy is None else heavy
     folder = scratch(spark, "repeated-grams")
-    counted = rows.select("text").mapInArrow(lean(_counter(length, gram, key_shards)), COUNTED).groupBy("shard").applyInArrow(_repeated(folder), "distinct long, runs long")
-    runs = counted.agg(F.sum("runs")).first()[0] or 0
-    del counted
-    release(spark)
-    shards = max(1, math.ceil(runs * (length + (length - gram) // 2) / shard_bytes))
-    cut = rows.mapInArrow(lean(_cutter(length, gram, folder, key_shards, shards)), RUNS)
+    levels = (gram, (gram + length) // 2, length)
+    size = used = 0
+    for used in range(1, len(levels) + 1):
+        last = used == len(levels)  # by all bytes of a window: what is met often now is one window, and collapses
+        counted = by_shard(rows.select("text").mapInArrow(lean(_counter(length, levels[:used], folder, key_shards)), COUNTED), key_shards, _repeated(folder, used - 1, 1 << 62 if last else heavy), "runs long, heavy_runs long, heavies long", "shard")
+        n = counted.agg(F.sum("runs").alias("runs"), F.sum("heavies").alias("heavies")).first()
+        size += (n["runs"] or 0) * (length + (length - levels[used - 1]) // 2)
+        del counted
+        release(spark)
+        if not n["heavies"]:
+            break
+    shards = max(1, math.ceil(size / shard_bytes))
+    cut_out = rows.mapInArrow(lean(_cutter(length, levels[:used], folder, key_shards, shards)), RUNS)
     spans_at = scratch(spark, "spans")
-    spans = kept(cut.groupBy("shard").applyInArrow(_sorter(length, queue_items), "doc long, print long, begin long, stop long"), spans_at)
-    del cut
+    spans = kept(by_shard(cut_out, shards, _sorter(length, queue_items, block), "doc long, print long, begin long, stop long", "shard"), spans_at)
+    del cut_out
     release(spark)
     discard(spark, folder)
     # a document's spans are at most as many as its bytes

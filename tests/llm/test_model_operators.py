@@ -6,15 +6,19 @@ import hashlib
 import math
 import random
 import re
+import tempfile
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from starloom.llm import kneser_ney, minhash, packing, queries, suffix_dedup
-from starloom.llm.suffix_array import buckets
+from starloom.llm import kneser_ney, minhash, packing, queries, suffix_array, suffix_dedup
 
 from .conftest import by_id
 from .test_text_operators import AZ, ODD, WORD, brute_hits, brute_lines, prose
@@ -106,20 +110,55 @@ def test_frequent_bigrams_keep_their_counts(spark, make):
 # ---- suffix dedup
 
 
-@pytest.mark.parametrize(("memory", "block"), [(8 << 20, 1 << 18), (40, 9)])
+@pytest.mark.parametrize(("memory", "block"), [(8 << 20, 1 << 18), (40, 9), (20, 5)])
 def test_suffix_order_with_common_prefixes(memory, block):
     rng = random.Random(3)
     for _ in range(60):
         s = bytes(rng.choices(rng.choice([b"ab", b"aaab", b"a\x00c", bytes(range(200))]), k=rng.randrange(160)))
-        s = (s + s[: rng.randrange(80)] + s if rng.random() < 0.6 else s) + b"a" * rng.choice([0, 150]) + b"\xfe"
-        out = list(buckets(s, memory, block))[::-1]
+        s = (s + s[: rng.randrange(80)] + s if rng.random() < 0.6 else s) + b"a" * rng.choice([0, 150, 400]) + b"\xfe"
+        out = list(suffix_array.descending(padded(s), len(s), memory, block))
         at, lcp = [int(x) for a, _ in out for x in a], [int(x) for _, c in out for x in c]
-        assert sorted(at) == list(range(len(s)))
-        assert [s[i : i + 104] for i in at] == sorted(s[i : i + 104] for i in range(len(s)))
+        assert at == sorted(range(len(s)), key=lambda i: s[i:], reverse=True)
         for i in range(1, len(at)):
             a, b = s[at[i - 1] :], s[at[i] :]
             same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-            assert min(lcp[i], 100) == min(same, 100)
+            assert min(lcp[i], 240) == min(same, 240)
+
+
+def padded(s):
+    return np.frombuffer(s + bytes(suffix_array.PAD), np.uint8)
+
+
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=120), st.integers(1, 4), st.sampled_from([(8, 3), (20, 7), (1000, 50)]))
+@settings(max_examples=150, deadline=None)
+def test_recursion_orders_strings_of_names(letters, times, sizes):
+    letters = letters * times
+    got = [int(x) for part in suffix_array.suffix_order(np.array(letters), *sizes).blocks(5) for x in part]
+    assert got == sorted(range(len(letters)), key=lambda i: letters[i:])
+
+
+def test_suffix_sorting_far_beyond_its_memory():
+    """A text of 80 times the items that may be held: what is allocated does not grow with it, and the order is that of memory."""
+    rng = random.Random(9)
+    text = prose(rng, 450_000, 5000).encode()[:1_600_000] + b"\xfe"
+    peaks = []
+    for n in (400_000, 1_600_000):
+        part = text[:n] + b"\xfe"
+        with tempfile.TemporaryFile() as f:
+            f.write(part + bytes(suffix_array.PAD))
+            f.flush()
+            mapped = np.memmap(f, np.uint8, "r")
+            tracemalloc.start()
+            at = zlib.crc32(b"")
+            for a, _ in suffix_array.descending(mapped, len(part), 20_000, 4_000):
+                at = zlib.crc32(a.astype("<i8").tobytes(), at)
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+        want = zlib.crc32(b"")
+        for a, _ in suffix_array.descending(padded(part), len(part)):
+            want = zlib.crc32(a.astype("<i8").tobytes(), want)
+        assert at == want
+    assert peaks[1] < 1.3 * peaks[0] and peaks[1] < 12 << 20, peaks
 
 
 def brute_repeats(rows, length):
@@ -140,17 +179,37 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "gram", "shard_bytes", "memory"), [(100, 24, 8 << 20, 12 << 20), (20, 6, 300, 50)])
-def test_suffix_dedup_equals_brute_force(spark, make, length, gram, shard_bytes, memory):
+@pytest.mark.parametrize(("length", "gram", "shard_bytes", "memory", "heavy", "block"), [(100, 24, 8 << 20, 3 << 20, None, 1 << 18), (20, 6, 300, 50, 8, 11), (20, 6, 3000, 400, 2, 40)])
+def test_suffix_dedup_equals_brute_force(spark, make, length, gram, shard_bytes, memory, heavy, block):
     rng = random.Random(4)
     pool = [prose(rng, 30) for _ in range(6)] + ["=" * 400, "é ü " * 60]
     rows = [(rng.randrange(1000), prose(rng, rng.randrange(12)) + "".join(rng.choices(pool, k=rng.randrange(3))) + prose(rng, 4)) for _ in range(40)]
+    rows += [(rng.randrange(1000), f"{prose(rng, 3)}a short line in many{prose(rng, 3)}") for _ in range(30)]
     rows += [(None, pool[0]), (5, pool[1]), (5, pool[1]), (5, "other " + pool[1]), (6, None), (7, ""), (8, "x" * 5000)]
-    got = suffix_dedup.remove_repeats(make([(i, t, "", "", 0) for i, t in rows], "doc_id long, text string, kept string, print string, n_chars long"), length, gram, shard_bytes, memory)
+    got = suffix_dedup.remove_repeats(make([(i, t, "", "", 0) for i, t in rows], "doc_id long, text string, kept string, print string, n_chars long"), length, gram, shard_bytes, memory, heavy, block)
     have = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got.collect()), key=repr)
     assert have == sorted(brute_repeats(rows, length), key=repr)
 
 
+def test_a_line_in_many_texts_is_dealt_to_many_shards():
+    """A short line with other neighbours each time: one representative by short grams, as many as there are texts by longer ones."""
+    rng = random.Random(10)
+    texts = [(prose(rng, 40, 10**6) + "a line of forty bytes or so, the same one" + prose(rng, 40, 10**6)).encode() for _ in range(200)]
+    windows = suffix_dedup.Windows(texts, 100)
+    _, first, last, keys = windows.runs(24)
+    value, n = np.unique(keys, return_counts=True)
+    assert n.max() >= 100
+    hot = np.isin(keys, value[n >= 100])
+    windows.only(first[hot], last[hot])
+    assert 0 < windows.wanted.sum() == (last[hot] - first[hot]).sum()
+    assert np.unique(windows.runs(62)[3], return_counts=True)[1].max() <= 3
+
+
+def test_spans_that_touch_are_one():
+    spans = np.array([[1, 7, 5, 9], [1, 7, 0, 5], [1, 7, 2, 3], [1, 7, 10, 12], [1, 8, 0, 1], [0, 7, 3, 4]])
+    assert suffix_dedup.united(spans).tolist() == [[0, 7, 3, 4], [1, 7, 0, 9], [1, 7, 10, 12], [1, 8, 0, 1]]
+
+
 def test_suffix_dedup_query(spark, stored, make):
     text = prose(random.Random(5), 60)
     got = by_id(queries.op5_suffix_dedup(spark, stored([text, "!" + text, None])))
@@ -158,7 +217,7 @@ def test_suffix_dedup_query(spark, stored, make):
     assert got[1]["kept_sha256"] == hashlib.sha256(b"!").hexdigest() and got[2]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
     assert suffix_dedup.remove_repeats(make(["a"]).limit(0)).count() == 0
     with pytest.raises(ValueError):
-        suffix_dedup.remove_repeats(make(["a"]), 120)
+        suffix_dedup.remove_repeats(make(["a"]), 250)
 
 
 # ---- near-duplicates
