@@ -6,10 +6,10 @@ the words of the normalised text stand where they stand in the original. Windows
 of fewer, but not none, is one window) become patterns with a blank at either end, so a match begins and ends
 at words. A document word inside any match is hit.
 
-Size of the automaton: the windows' text is measured; while it is at most `most_pattern_bytes`, one automaton
-is sent to the workers in a closure. Beyond that the windows are dealt by hash into as many automata as
-needed, documents are scanned once for each, and the hits of the scans are united per document; no window is
-ever left out.
+Size of the automaton: the items' text is measured, and bounds that of their windows; the windows are dealt by hash into
+as many automata as keep each below `most_pattern_bytes`, one as a rule. Each is built once, by one task, and stored in the
+shared folder; a worker loads it when it first needs it. With several, documents are scanned once for each, and the
+hits of the scans are united per document; no window is ever left out.
 
 Defined cases. Null or empty text: no words, no hits. Items without words: no windows. Repeated items with one
 item_id: their windows are united. Rows that share a doc_id are scanned each for itself by `scan`; `scan` keeps one
@@ -19,7 +19,9 @@ columns are not touched.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, kept, lean, scratch, slices, small_batches
+from .arrays import mapped, save
+from .common import as_bytes, by_shard, kept, lean, scratch, slices, small_batches
 
 #: Every byte that is no word byte becomes a blank; A-Z become a-z; bytes from x80 on are parts of words.
 NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
@@ -99,22 +102,53 @@ def scan_text(text: bytes | None, auto) -> tuple[int, int, list[str], np.ndarray
     return len(words), int(hit.sum()), sorted({i for _, (_, ids) in found for i in ids}), *spans
 
 
-def _groups(benchmark: DataFrame, window: int, most_pattern_bytes: int) -> list[dict[bytes, list[str]]]:
-    """The windows, dealt into groups of bounded size. The text of the items bounds that of the windows: at most window + 1 times as long, and most_pattern_bytes each."""
+def _dealer(window: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in slices(batch, "text"):
+                for item, text in zip(rows.column("item_id").to_pylist(), texts, strict=True):
+                    found = list(windows_of([(item, text)], window))
+                    part = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "big") % parts for w in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(found, pa.binary()), pa.array([str(item)] * len(found), pa.string())], ["part", "window", "item"])
+
+    return run
+
+
+def _builder(folder: str):
+    def run(key: tuple[int, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: dict[bytes, set[str]] = defaultdict(set)
+        for batch in group:
+            for w, item in zip(batch.column("window").to_pylist(), batch.column("item").to_pylist(), strict=True):
+                windows[w].add(item)
+        made = pickle.dumps(automaton({w: sorted(items) for w, items in windows.items()}))
+        save(folder, f"automaton.{key[0]}", np.frombuffer(made, np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([len(windows)], pa.int64())], ["n"])
+
+    return run
+
+
+def build(benchmark: DataFrame, window: int, most_pattern_bytes: int) -> tuple[str, int]:
+    """The automata of a benchmark, as files: their folder and number. An item's windows have at most window + 1 times its text."""
+    spark = benchmark.sparkSession
+    small_batches(spark)
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size * (window + 1) // most_pattern_bytes))
-    if parts == 1:
-        return [windows_of([(r[0], r[1].encode()) for r in benchmark.where("text is not null").select("item_id", "text").toLocalIterator()], window)]
-    found: list[dict[bytes, set[str]]] = [defaultdict(set) for _ in range(parts)]
-    for r in benchmark.where("text is not null").select("item_id", "text").toLocalIterator():
-        for w, ids in windows_of([(r[0], r[1].encode())], window).items():
-            found[int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "big") % parts][w].update(ids)
-    return [{w: sorted(ids) for w, ids in g.items()} for g in found]
+    folder = scratch(spark, "automata")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    by_shard(items.mapInArrow(lean(_dealer(window, parts)), "part int, window binary, item string"), parts, _builder(folder), "n long", "part").agg(F.sum("n")).collect()
+    return folder, parts
 
 
-def _scanner(windows: dict[bytes, list[str]]):
+@functools.lru_cache(maxsize=1)
+def loaded(folder: str, part: int):
+    """The automaton, kept by the worker between its tasks; one without words if there are no windows."""
+    made = mapped(folder, f"automaton.{part}", "u1", {})
+    return pickle.loads(made.tobytes()) if len(made) else automaton({})
+
+
+def _scanner(folder: str, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton(windows)
+        auto = loaded(folder, at)
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 rows = [scan_text(t, auto) for t in texts]
@@ -134,14 +168,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_pattern_b
     then united (words between two spans that touch count once). Scans meet by doc_id and a 128-bit hash of the text.
     """
     small_batches(docs.sparkSession)
-    groups = _groups(benchmark, window, most_pattern_bytes)
+    folder, parts = build(benchmark, window, most_pattern_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if len(groups) == 1:
-        return rows.mapInArrow(lean(_scanner(groups[0])), SCANNED)
+    if parts == 1:
+        return rows.mapInArrow(lean(_scanner(folder, 0)), SCANNED)
     rows = rows.withColumn("key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    scans = rows.mapInArrow(lean(_scanner(groups[0])), f"key string, {SCANNED}")
-    for g in groups[1:]:
-        scans = scans.unionAll(rows.mapInArrow(lean(_scanner(g)), f"key string, {SCANNED}"))
+    scans = functools.reduce(DataFrame.unionAll, [rows.mapInArrow(lean(_scanner(folder, k)), f"key string, {SCANNED}") for k in range(parts)])
     merged = scans.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends"))).alias("spans"))
     both = rows.alias("r").join(merged.alias("m"), F.expr("r.doc_id <=> m.doc_id and r.key = m.key"), "left").select("r.doc_id", "r.text", "m.n_words", "m.items", "m.spans")
     return both.mapInArrow(lean(_uniter), SCANNED)
@@ -170,13 +202,13 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_pat
     """The documents without a hit word, with all their columns. A document (row) with any goes; null and empty texts stay."""
     spark = docs.sparkSession
     small_batches(spark)
-    groups = _groups(benchmark, window, most_pattern_bytes)
-    for k, windows in enumerate(groups):
+    folder, parts = build(benchmark, window, most_pattern_bytes)
+    for k in range(parts):
         if k:  # one automaton at a time in a worker
             docs = kept(docs, scratch(spark, "clean"))
 
-        def run(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
-            auto = automaton(windows)
+        def run(batches: Iterator[pa.RecordBatch], k=k) -> Iterator[pa.RecordBatch]:
+            auto = loaded(folder, k)
             for batch in batches:
                 clean = []
                 for t in as_bytes(batch.column("text")):
