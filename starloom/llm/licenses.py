@@ -1,18 +1,15 @@
 """Licence scans by canonical digest: whole texts, normalised, hash-joined to the digests of known licences.
 
 Normal form, by DataFrame functions only: A-Z lower-cased; typographic quotes, dashes and marks as blanks; lines
-that are a copyright notice (with a year, a colon, (c) or the sign) removed, as is "all rights reserved"; every
-other run of ASCII characters that are no letter or digit as one blank; equivalent spellings made one. Known
+that are a copyright notice removed (with a year, a colon, (c) or the sign, or of names alone, as in "Copyright Jane
+Doe"), as is "all rights reserved"; every other run of ASCII characters that are no letter or digit as one blank;
+equivalent spellings made one. Known
 texts pass through the same expression, so the two sides always agree. The digest is SHA-256 in hex.
 
 Known are KNOWN and the rows of `known_licenses.jsonl` (license_id, text): whole licence files in the wordings at hand, with
 and without their appendix, the header notices that the GPL and MPL ask for, and one-sentence notices. A notice or licence
 inside a longer document is not found, as the whole text is looked up.
 
-Spelling rules are applied only to texts at most `twice as long` as the longest known one after the other
-steps: no rule shortens a text by half, so a longer text cannot equal a known licence; its digest is of the text
-before those rules.
-
 Defined cases. Null text: digest null, no licence. A text without letters or digits has the digest of the
 empty text and matches nothing. Known texts with one normal form: the smallest licence id is reported. The
 known table is broadcast while it has at most `most_broadcast` rows, and hash-joined by a shuffle beyond.
@@ -43,6 +40,8 @@ SPELLINGS = [
     ("https", "http"),
 ]
 NOTICE = "(^|\\n)[^a-z0-9\\n]*(copyright[ \\t]*(\\(c\\)|©|:|[0-9]{4})|\\(c\\)|©)[^\\n]*"
+#: Lines of names alone, told by their capitals; (?d): lines end at \n only.
+NAMED = "(?dm)^[^A-Za-z0-9\\n]*Copyright([ \\t]+(by|the|of|and|&|[A-Z][a-z'.-]+|[A-Z]\\.))+[.,]?[ \\t\\r]*$"
 PUNCTUATION = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: More known texts, one JSON object a line; read on the driver.
 TABLE = Path(__file__).with_name("known_licenses.jsonl")
@@ -110,7 +109,7 @@ KNOWN = [
 
 def shortened(text: Column) -> Column:
     """All steps but the spellings."""
-    lower = F.translate(text, UPPER + MARKS, LOWER + " " * len(MARKS))
+    lower = F.translate(F.regexp_replace(text, NAMED, ""), UPPER + MARKS, LOWER + " " * len(MARKS))
     bare = F.regexp_replace(lower, NOTICE, "$1")
     words = F.trim(F.regexp_replace(bare, PUNCTUATION, " "))
     return F.trim(F.regexp_replace(words, " ?all rights reserved", ""))
@@ -125,7 +124,7 @@ def spelt(words: Column) -> Column:
 def digests(known: DataFrame) -> DataFrame:
     """license_id and digest of each known normal form (license_id, text)."""
     form = known.where("text is not null and license_id is not null").select("license_id", spelt(shortened(F.col("text"))).alias("form")).where("form <> ''")
-    return form.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.max(F.length("form")).alias("chars"))
+    return form.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -138,10 +137,6 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame, known: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
     """doc_id, digest, license_id (null: none known) and is_license of every document. One scan; no shuffle while the known table is small."""
     table = digests(known)
-    size = table.agg(F.count("*").alias("n"), F.max("chars").alias("chars")).first()
-    longest = 2 * (size["chars"] or 0)
-    table = table.select("digest", "license_id")
-    table = F.broadcast(table) if size["n"] <= most_broadcast else table.hint("shuffle_hash")
-    words = shortened(F.col("text"))
-    rows = docs.select("doc_id", words.alias("words")).select("doc_id", F.sha2(F.when(F.length("words") <= longest, spelt(F.col("words"))).otherwise(F.col("words")), 256).alias("digest"))
+    table = F.broadcast(table) if table.count() <= most_broadcast else table.hint("shuffle_hash")
+    rows = docs.select("doc_id", F.sha2(spelt(shortened(F.col("text"))), 256).alias("digest"))
     return rows.join(table, "digest", "left").select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import licenses
 
-_AZ = f"'{licenses.UPPER}', '{licenses.LOWER}'"
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP1 = rf"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
@@ -22,28 +22,42 @@ from d left join hit using (doc_id) left join items using (doc_id)
 """
 
 
-def _spelt(words: str) -> str:
-    for pattern, becomes in licenses.SPELLINGS:
-        words = f"regexp_replace({words}, '{pattern}', '{becomes.replace('{1}', chr(92) + '1').replace('{2}', chr(92) + '2')}', 'g')"
-    return words
+#: The normal form once more, in SQL of its own: names, letters and marks, notices, blanks, then the spellings one after the other.
+_STEPS = [
+    (r"(?m)^[^A-Za-z0-9\n]*Copyright([ \t]+(by|the|of|and|&|[A-Z][a-z''.-]+|[A-Z]\.))+[.,]?[ \t\r]*$", ""),
+    None,
+    (r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|:|[0-9]{4})|\(c\)|©)[^\n]*", r"\1"),
+    (r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "),
+    (r"^ | $", ""),
+    (r" ?all rights reserved", ""),
+    (r"^ +| +$", ""),
+    (r"licenc(e|ed|es|ing)", r"licens\1"),
+    (r"(behavi|col|fav|hon|lab|neighb)our", r"\1or"),
+    (r"(author|organ|recogn|capital|initial|general|real|util|penal|serial)is(e|ed|es|ing|ation)", r"\1iz\2"),
+    (r"(acknowledg|judg)ement", r"\1ment"),
+    (r"(analog|catalog)ue", r"\1"),
+    (r"(cent|met)re", r"\1er"),
+    (r"merchantibility", "merchantability"),
+    (r"(non|sub|per|web) (commercial|licens|cent|site)", r"\1\2"),
+    (r"copyright (owner|holder)", "copyright holder"),
+    (r"while", "whilst"),
+    (r"https", "http"),
+]
 
 
-def _shortened(text: str) -> str:
-    lower = f"translate({text}, '{licenses.UPPER}{licenses.MARKS}', '{licenses.LOWER}{' ' * len(licenses.MARKS)}')"
-    notice = licenses.NOTICE.replace("\\\\", "\\")
-    bare = f"regexp_replace({lower}, '{notice}', '\\1', 'g')"
-    return f"trim(regexp_replace(trim(regexp_replace({bare}, '{licenses.PUNCTUATION}', ' ', 'g')), ' ?all rights reserved', '', 'g'))"
+def _form(text: str) -> str:
+    for step in _STEPS:
+        text = f"regexp_replace({text}, '{step[0]}', '{step[1]}', 'g')" if step else f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ‘’“”„«»‐‑–—―…·•®™ ', 'abcdefghijklmnopqrstuvwxyz{' ' * 18}')"
+    return text
 
 
 def _op6() -> str:
-    known = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.KNOWN)
+    short = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.KNOWN)
     return f"""
-with known(license_id, text) as (values {known}),
-form as (select license_id, {_spelt(_shortened('text'))} form from known),
+with known as (select license_id, text from (values {short}) k(license_id, text) union all select license_id, text from read_json('{licenses.TABLE}', format = 'newline_delimited', columns = {{license_id: 'varchar', text: 'varchar'}}, maximum_object_size = 100000000)),
+form as (select license_id, {_form('text')} form from known),
 table_ as (select sha256(form) digest, min(license_id) license_id from form where form <> '' group by 1),
-longest as (select 2 * max(length(form)) chars from form),
-words as (select doc_id, {_shortened('text')} words from documents),
-d as (select doc_id, sha256(case when length(words) <= (select chars from longest) then {_spelt('words')} else words end) digest from words)
+d as (select doc_id, sha256({_form('text')}) digest from documents)
 select doc_id, d.digest, license_id, license_id is not null is_license from d left join table_ using (digest)
 """
 
