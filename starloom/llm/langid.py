@@ -27,7 +27,6 @@ from .common import lean, slices, small_batches
 
 PREDICTED = "doc_id long, lang_pred string, score double"
 UNKNOWN = "und"
-GRAMS = 3
 
 
 class Letters:
@@ -106,8 +105,10 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, profile: int = 400) -> dict[str, np.ndarray]:
-    """Each language's ranked keys, from columns text and lang."""
+    """Each language's ranked keys, from columns text and lang; none if there is no column lang."""
     small_batches(docs.sparkSession)
+    if "lang" not in docs.columns:
+        return {}
     counts = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(lean(_counter), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # ranked twice: first among those of one hash, so that no task sorts a whole language
     by_part = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "order")
@@ -164,8 +165,10 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = 400
 
 
 def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = 400, least: float = 0.0) -> DataFrame:
-    """The documents (all columns) that get a language and at least that score; the others go."""
+    """The documents (all columns) that get a language and at least that score; the others go. Without any profile: those with a letter."""
     small_batches(docs.sparkSession)
+    if not profiles:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(profiles, profile)

@@ -95,6 +95,13 @@ def test_model_query(spark, stored):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_model_scores_rows_of_one_id_each_for_itself(spark, stored):
+    rows = [(i, t, "", "", 0) for i, t in [(None, "a b"), (None, "a b c"), (7, "a"), (7, "a b"), (7, "a b"), (9, None)]]
+    got = sorted(((r["doc_id"], r["held_out"], r["n_tokens"]) for r in queries.op4_kneser_ney(spark, stored(rows)).collect()), key=repr)
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    assert got == sorted(((i, out(i), len(tokens(t))) for i, t, *_ in rows), key=repr)
+
+
 def test_model_of_nothing(spark, make):
     model = kneser_ney.train(make(["a"]).limit(0))
     row = kneser_ney.score(make(["a b"]), model).first()
@@ -327,7 +334,7 @@ def test_language_stage_drops_gibberish_and_unlearned_languages(spark, make):
 def test_stages_keep_columns_and_meet_odd_tables(spark, make, stored):
     at = stored(ODD, [(1, None)])
     odd = make([(None, None, None, None, None), (1, None, "en", None, 0), (2, "words of a text", None, "s", None), (2, "words of a text", None, "s", None)])
-    for docs in (odd, odd.limit(0), odd.withColumn("lang_pred", F.lit(1)).withColumn("lost", F.lit(2))):
+    for docs in (odd, odd.limit(0), odd.drop("lang", "n_chars"), odd.withColumn("lang_pred", F.lit(1)).withColumn("lost", F.lit(2))):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, at)
             assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from starloom.llm import decontaminate, langid, licenses, line_dedup, quality, queries
+from starloom.llm import decontaminate, langid, licenses, line_dedup, oracles, quality, queries
+from starloom.llm.common import mix64
 
 from .conftest import by_id
 
@@ -111,6 +116,36 @@ def test_quality_base_equals_brute_force(spark, stored):
         assert got[i]["base_failed"] is False or got[i]["kept"] is False
 
 
+def brute_ratio(texts, trusted, buckets, share):
+    """log p_target - log p_raw by bucket, each n-gram hashed by itself."""
+    bucket = lambda gram: int(mix64(np.array([xxhash.xxh3_64_intdigest(gram[0].encode())], np.uint64))[0] if len(gram) == 1 else mix64(np.array([xxhash.xxh3_64_intdigest(gram[0].encode())], np.uint64) * np.uint64(3) + mix64(np.array([xxhash.xxh3_64_intdigest(gram[1].encode())], np.uint64)))[0]) % buckets
+    grams = lambda t: [bucket(g) for n in (1, 2) for w in [WORD.findall(t or "")] for g in (tuple(w[i : i + n]) for i in range(len(w) - n + 1))]
+    raw = Counter(b for t in texts for b in grams(t))
+    target = Counter(b for t, good in zip(texts, trusted, strict=True) if good for b in grams(t))
+    n, m = sum(raw.values()), sum(target.values())
+    score = lambda t: sum(math.log((1 - share) * (target[b] / m) / (raw[b] / n) + share) for b in grams(t)) / len(grams(t)) if grams(t) else None
+    return score
+
+
+def test_quality_scores_equal_brute_force(spark, make):
+    rng = random.Random(13)
+    texts = [prose(rng, rng.randrange(5, 60), 40) for _ in range(40)] + ODD
+    trusted = [i % 3 == 0 for i in range(len(texts))]
+    labels = spark.createDataFrame([(i, int(g), 0) for i, g in enumerate(trusted)] + [(0, 1, 0)], "doc_id long, quality int, toxic int")
+    for buckets in (64, 1 << 16):
+        score = brute_ratio(texts, trusted, buckets, 0.25)
+        ratio = quality.fit(make(texts), labels, buckets)
+        want = [score(t) for t in texts]
+        cut = sorted(x for x in want if x is not None)[20]
+        for threshold in (-0.3, cut):
+            got = by_id(quality.judge(make(texts), ratio, threshold))
+            for i, t in enumerate(texts):
+                assert (got[i]["score"] is None) == (want[i] is None) and (want[i] is None or got[i]["score"] == pytest.approx(want[i], abs=1e-9))
+                assert got[i]["kept"] == (not brute_base(t)[-1] and got[i]["score"] >= threshold)
+        own = by_id(quality.judge(make(texts), ratio, got[3]["score"]))  # a tie at the threshold is kept
+        assert own[3]["kept"] == (not own[3]["base_failed"])
+
+
 def test_quality_tells_junk_from_trusted_text(spark, make):
     rng = random.Random(3)
     walk = lambda at: " ".join(f"w{(at := (at + rng.randrange(1, 7)) % 40)}" for _ in range(80))  # noqa: E731  few pairs of words, so that a third of the texts shows them all
@@ -155,10 +190,14 @@ def test_licences_by_canonical_digest(spark, make):
         "more": mit + " And more.",
         "part": mit[:200],
         "notice": "licensed under CC BY-NC 4.0",
+        "named": "Copyright Jane Doe\r\n  * Copyright by The Foo Authors and J. Doe.\n\n" + mit,
+        "not named": "Copyright of all that follows\n" + mit,
     }
     got = by_id(licenses.scan(make([*texts.values(), *ODD]), licenses.known_licenses(spark)))
-    assert [got[i]["license_id"] for i in range(6)] == ["MIT", "MIT", "MIT", None, None, "CC-BY-NC-4.0-notice"]
-    assert got[6]["digest"] is None and got[7]["digest"] == hashlib.sha256(b"").hexdigest() and not any(got[i]["is_license"] for i in range(6, 13))
+    assert [got[i]["license_id"] for i in range(8)] == ["MIT", "MIT", "MIT", None, None, "CC-BY-NC-4.0-notice", "MIT", None]
+    assert got[8]["digest"] is None and got[9]["digest"] == hashlib.sha256(b"").hexdigest() and not any(got[i]["is_license"] for i in range(8, 15))
+    again = licenses.scan(make([mit, mit, None]), licenses.known_licenses(spark)).collect()  # repeated rows
+    assert [r["license_id"] for r in sorted(again, key=lambda r: r["doc_id"])] == ["MIT", "MIT", None]
     own = spark.createDataFrame([("B", "The colour\nof X"), ("A", "the color of x!"), ("C", None), ("D", "...")], "license_id string, text string")
     docs = make(["THE COLOUR OF X", "...", "the colour"]).withColumn("license_id", F.lit(1))
     for most in (100, 0):
@@ -168,6 +207,23 @@ def test_licences_by_canonical_digest(spark, make):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_licences_equal_their_sql(spark, make, stored):
+    """Whole licences, reworded in the ways that the normal form knows and in others, against SQL of its own."""
+    rng = random.Random(12)
+    known = [(r["license_id"], r["text"]) for r in licenses.known_licenses(spark).collect()]
+    texts = []
+    for _, t in rng.sample(known, 60):
+        t = f"Copyright {rng.choice(['(c) 1999 X', 'Jane Doe', '2020', 'by no one in particular'])}\n{t}" if rng.random() < 0.5 else t
+        t = t.replace("license", "licence").replace("-", "–") if rng.random() < 0.5 else t
+        texts.append(t.upper() if rng.random() < 0.2 else t + " Changed." if rng.random() < 0.2 else t)
+    texts += ODD
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    want = {r[0]: r[1:] for r in con.execute(f"select doc_id, digest, license_id, is_license from ({oracles.SQL['op6_licenses']})").fetchall()}
+    got = {r["doc_id"]: (r["digest"], r["license_id"], r["is_license"]) for r in queries.op6_licenses(spark, stored(texts)).collect()}
+    assert got == want and 30 < sum(x[2] for x in got.values()) < 60
+
+
 def test_whole_licence_files_and_all_notices_are_known(spark, make):
     rows = [(r["license_id"], r["text"]) for r in licenses.known_licenses(spark).collect()]
     whole = {i: max((t for j, t in rows if j == i), key=len) for i in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "BSL-1.0")}
@@ -256,6 +312,33 @@ def test_language_grams_equal_brute_force():
     assert not len(langid.grams_of(letters.codes(b" 1 2 ")))
 
 
+def brute_language(text, profiles, profile):
+    """The nearest language by out-of-place distance, and the score, with n-grams as strings."""
+    code = lambda g: sum(((ord(c) if c != " " else 0) << 21 * (len(g) - 1 - k)) for k, c in enumerate(g)) + {1: 0, 2: 1 << 62, 3: 1 << 63}[len(g)]
+    ranks = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][:profile]
+    own = ranks(brute_profile(text or ""))
+    if not own:
+        return "und", 0.0
+    best = min((sum(abs(p.index(g) - r) if g in p else profile for r, g in enumerate(own)), lang) for lang, p in ((lang, ranks(c)) for lang, c in profiles.items()))
+    return best[1], 1 - best[0] / (profile * len(own))
+
+
+@pytest.mark.parametrize("profile", [12, 400])
+def test_language_predictions_equal_brute_force(spark, make, profile):
+    rng = random.Random(14)
+    words = {"xa": ["kari", "toka", "rito", "été"], "xb": ["schlung", "eiung", "schl"], "xc": ["eauoi", "queau", "oique", "été"]}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]).title() + rng.choice(["", ",", "."]) for _ in range(n))
+    rows = [(i, text(lang, rng.choice([1, 5, 40])), lang, "s", 0) for i, lang in enumerate(["xa", "xb", "xc"] * 8)]
+    profiles = defaultdict(Counter)
+    for _, t, lang, _, _ in rows:
+        profiles[lang] += brute_profile(t)
+    more = [*rows, (3, rows[3][1], None, None, None), (None, "kari été", None, None, None), *((100 + i, t, None, None, None) for i, t in enumerate([*ODD, "zzz", "kari schlung eauoi", "日本 kari"]))]
+    got = langid.predict(make(more), langid.learn(make(rows), profile), profile).collect()
+    have = sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 9)) for r in got)
+    want = [(str(r[0]), *brute_language(r[1], profiles, profile)) for r in more]
+    assert have == sorted((i, lang, round(score, 9)) for i, lang, score in want)
+
+
 def test_language_held_out_accuracy(spark, stored):
     rng = random.Random(5)
     syllables = {"xa": ["ka", "ri", "to"], "xb": ["schl", "ung", "ei"], "xc": ["eau", "oi", "que"]}
@@ -277,4 +360,5 @@ def test_language_profiles_and_filter(spark, make):
     assert got[1]["lang_pred"] == "a" and got[1]["score"] == 1.0  # ties: the first by name
     assert [r[0] for r in langid.keep_known(docs, profiles, 5).orderBy("doc_id").select("doc_id").collect()] == [1, 2, 4]
     assert {r["lang_pred"] for r in langid.predict(docs, langid.learn(docs.limit(0))).collect()} == {"und"}
+    assert langid.learn(docs.drop("lang")) == {} and langid.keep_known(docs, {}, least=0.9).count() == 3  # nothing learned: texts with a letter
     assert np.array_equal(langid.ranked(np.array([3, 1, 1, 2, 3], np.uint64), 2), [1, 3])
