@@ -186,8 +186,8 @@ def _checker(size: int, percent: int):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
-    """doc_id and the smallest doc_id it is connected with, for all that have a link (a, b)."""
+def components(links: DataFrame, at: str | None = None) -> DataFrame:
+    """doc_id and the smallest doc_id it is connected with, for all that have a link (a, b); a written table."""
     spark = links.sparkSession
     path = scratch(spark, "links")
     edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), path)
@@ -206,7 +206,9 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct())
+    out = kept(edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct()), at or scratch(spark, "components"))
+    discard(spark, path)
+    return out
 
 
 def _texts(docs: DataFrame, ids: DataFrame, most_broadcast_ids: int) -> DataFrame:
@@ -264,7 +266,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, bands:
     for turn in range(rounds + 1):
         if turn:
             component_at.append(scratch(spark, "components"))
-            component = kept(components(read(links_at)), component_at[-1])
+            component = components(read(links_at), component_at[-1])
             placed = members.join(component.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
             mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
             open_at = scratch(spark, "open")
@@ -286,14 +288,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, bands:
             check(members.join(centre, "key").where((F.col("rep") != F.col("c_rep")) & alike(F.col("size"), F.col("c_size"))).select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")))
 
     found = read(links_at)
-    component = kept(components(found.unionAll(twice)), scratch(spark, "components"))
-    number = kept(found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links")), scratch(spark, "numbers"))
-    heads = kept(classes.select("f1", "f2", "rep").join(component.withColumnRenamed("doc_id", "rep"), "rep", "left").join(number, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), scratch(spark, "heads"))
+    component_at.append(scratch(spark, "components"))
+    component = components(found.unionAll(twice), component_at[-1])
+    number = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    heads_at = scratch(spark, "heads")
+    heads = kept(classes.select("f1", "f2", "rep").join(component.withColumnRenamed("doc_id", "rep"), "rep", "left").join(number, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), heads_at)
     discard(spark, members_at, texts_at, classes_at, *tested_at, *links_at, *component_at)
     alone = F.col("n_shingles") == 0
     joined = signed.select("doc_id", "n_shingles", F.when(~alone, F.col("f1")).alias("f1"), F.when(~alone, F.col("f2")).alias("f2")).join(heads, ["f1", "f2"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", own.cast("long").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    rows = joined.select("doc_id", "n_shingles", own.cast("long").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = kept(rows, scratch(spark, "near-duplicates"))
+    discard(spark, signed_at, heads_at)
+    return out
 
 
 def keep_one(docs: DataFrame, percent: int = 80, **options: int) -> DataFrame:

@@ -189,7 +189,8 @@ def pack(docs: DataFrame, size: int = 2048, tokenizer: str = "word_bpe_49k.json"
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     with batches_of(spark, 4 * BATCH_ROWS):  # more chunks repeat within a batch
-        rows = kept(docs.select("doc_id", "text").mapInArrow(lean(_pieces(tokenizer, end, size, slack)), PIECES), scratch(spark, "pieces"))
+        pieces_at = scratch(spark, "pieces")
+        rows = kept(docs.select("doc_id", "text").mapInArrow(lean(_pieces(tokenizer, end, size, slack)), PIECES), pieces_at)
     pieces = rows.where("kind = 0").select("doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset")
     way = rows.where("kind = 1").select("bin", "part", "used", "place", F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("shift"))
     counts = way.groupBy("part", "used").agg(F.count("*").alias("n"))
@@ -215,6 +216,8 @@ def pack(docs: DataFrame, size: int = 2048, tokenizer: str = "word_bpe_49k.json"
             F.when(stays, F.col("w.root")).otherwise(F.lit(level << 56) + F.col("r.up_part") * step + F.col("r.number") + along).alias("root"),
             F.when(stays, F.col("w.shift")).otherwise(F.col("w.shift") + F.col("r.offset")).alias("shift"),
         )
-    placed = kept(way.select("bin", "root", "shift"), scratch(spark, "placed"))
-    discard(spark, *paths)
-    return pieces.join(placed, "bin", "left").select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("root", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    placed = way.select("bin", "root", "shift")
+    joined = pieces.join(placed, "bin", "left").select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("root", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    out = kept(joined, scratch(spark, "packing"))
+    discard(spark, pieces_at, *paths)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, kneser_ney, langid, licenses, line_dedup, minhash, packing, quality, rans, suffix_dedup
-from .common import documents, scratch, table
+from .common import discard, documents, kept, scratch, table
 
 
 def remainder(divisor: int, doc_id: str = "doc_id") -> Column:
@@ -26,7 +26,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "rans")
     rans.write_ids(documents(spark, sf_dir), path)
-    return rans.read_ids(spark, path)
+    rows = rans.read_ids(spark, path)
+    discard(spark, path)  # all that the rows need has been read
+    return rows
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +39,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = kneser_ney.train(docs.where(~held_out(5)))
-    return kneser_ney.score(docs, model).select("doc_id", held_out(5).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = kept(kneser_ney.score(docs, model), scratch(spark, "scores"))
+    kneser_ney.remove(spark, model)
+    return rows.select("doc_id", held_out(5).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -337,14 +337,14 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False, most_ids: i
     """Decodes the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and on request the ids.
 
     Every run between two checkpoints is decoded and checked by itself. Those of a block of more than `most_ids` ids (a long
-    document) are spread over all tasks; documents that lie in several runs are joined afterwards. What is decoded is a written table.
+    document) are spread over all tasks; documents that lie in several runs are joined afterwards. What is decoded is a written table, so the files may go afterwards.
     """
     blocks = spark.read.parquet(f"{path}/blocks")
     freq = read_table(spark, path)
     per_part = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     # a row per part (as many as there were partitions): their running sum is a window over few rows
     before = per_part.select("part", F.expr("coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0)").alias("part_start"))
-    starts = blocks.select("part", "block", "n_ids").join(F.broadcast(before), "part").select("part", "block", F.expr("part_start + coalesce(sum(n_ids) over (partition by part order by block rows between unbounded preceding and 1 preceding), 0)").alias("first_start"))
+    starts = kept(blocks.select("part", "block", "n_ids").join(F.broadcast(before), "part").select("part", "block", F.expr("part_start + coalesce(sum(n_ids) over (partition by part order by block rows between unbounded preceding and 1 preceding), 0)").alias("first_start")), scratch(spark, "starts"))
     runs = runs_of(blocks.where(F.col("n_ids") <= most_ids))
     if blocks.where(F.col("n_ids") > most_ids).head(1):
         runs = runs.unionAll(runs_of(blocks.where(F.col("n_ids") > most_ids)).repartition("part", "block", "run"))
