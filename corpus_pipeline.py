@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages, each applied to all that the one before it kept.
 
-1. langid: documents without a letter, or like no learned language, go.
+1. langid: documents without a letter, or like no learned language, go (if nothing can be learned, only the former).
 2. line_dedup: repeated lines go from the texts (n_chars, if it is there, follows).
 3. near_dedup: one document of each group of near duplicates stays.
 4. decontaminate: documents that hold a window of a benchmark item go.
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm import decontaminate, langid, line_dedup, minhash, packing
-from starloom.llm.common import kept, scratch, table
+from starloom.llm.common import discard, kept, scratch, table
 
 #: A document that is less like every language than this is taken for no language. It lies in a measured gap: the
 #: documents of sf0.1 score 0.415 and more and all but 2 of 30,000 pieces of 2 to 12 words from them 0.35 and more, while
@@ -55,10 +55,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(table(sf_dir, "documents"))
+    docs, paths = spark.read.parquet(table(sf_dir, "documents")), []
     for name, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir), scratch(spark, name))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        paths.append(scratch(spark, name))
+        docs = kept(stage(spark, docs, sf_dir), paths[-1])
+    out = STAGES[-1][1](spark, docs, sf_dir)  # a written table: nothing reads the stages' tables any more
+    discard(spark, *paths)
+    return out
 
 
 #: The last stage's tokens are not expressible in SQL; tests hold the pipeline against a brute-force version.
