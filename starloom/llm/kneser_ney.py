@@ -282,7 +282,7 @@ class Model:
         self.kinds, self.tokens, self.lefts, self.gamma = kinds, tokens, lefts, gamma
 
 
-def train(docs: DataFrame, order: int = 2, shards: int | None = None, key_bytes: int = 5, flush: int = 3_000_000, shard_bytes: int = 16 << 20) -> Model:
+def train(docs: DataFrame, order: int = 2, shards: int | None = None, key_bytes: int = 5, flush: int = 3_000_000, shard_bytes: int = 8 << 20) -> Model:
     """Counts the texts of docs. order: 2 or 3. shards: a power of two; by default one for so many bytes of input, as Spark estimates it.
 
     Each shard sends every other one what it has found of its contexts and suffixes, at most a number per n-gram.
