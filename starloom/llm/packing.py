@@ -49,45 +49,39 @@ def fit_classes(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     rooms = 0  # bit r: some bin has room r
     bins = 0
 
-    def put(room: int, first: int, n: int) -> None:
+    def fill(room: int, first: int, n: int, length: int, item: int, left: int) -> int:
+        """Gives n bins of that room the next items, each as many as it holds before the next one, which then has more room. How many items were placed."""
         nonlocal rooms
-        by_room[room].append((first, n))
-        rooms |= 1 << room
+        each = room // length
+        whole = min(n, left // each)
+        rest = left - whole * each if whole < n else 0
+        at = item
+        for bins_, number, start in ((whole, each, first), (int(rest > 0), rest, first + whole)):
+            if bins_:
+                for k in range(number):
+                    placed.append((length, at, bins_, start, size - room + k * length))
+                    at += bins_
+                by_room[room - number * length].append((start, bins_))
+                rooms |= 1 << (room - number * length)
+        begun = whole + (rest > 0)
+        if begun < n:
+            by_room[room].append((first + begun, n - begun))
+            rooms |= 1 << room
+        return at - item
 
     for length in range(size, 0, -1):
         left, item = int(counts[length]), 0
-        while left and (fit := rooms >> length):
-            room = length + (fit & -fit).bit_length() - 1
-            first, n = by_room[room].pop()
-            if not by_room[room]:
-                rooms ^= 1 << room
-            m = min(n, left)
-            placed.append((length, item, m, first, size - room))
-            if m < n:
-                put(room, first + m, n - m)
-            put(room - length, first, m)
-            left, item = left - m, item + m
-            # a bin that takes several of them takes the next ones first, as it has the least room now
-            while left and room - length >= length:
-                room -= length
-                by_room[room].pop()
+        while left:
+            if fit := rooms >> length:
+                room = length + (fit & -fit).bit_length() - 1
+                first, n = by_room[room].pop()
                 if not by_room[room]:
                     rooms ^= 1 << room
-                k = min(m, left)
-                placed.append((length, item, k, first, size - room))
-                if k < m:
-                    put(room, first + k, m - k)
-                put(room - length, first, k)
-                left, item, m = left - k, item + k, k
-        if left:
-            each = size // length
-            for n, whole in ((left // each, each), (int(left % each > 0), left % each)):
-                if n:
-                    for k in range(whole):
-                        placed.append((length, item, n, bins, k * length))
-                        item += n
-                    put(size - whole * length, bins, n)
-                    bins += n
+            else:
+                room, first, n = size, bins, -(-left // (size // length))
+                bins += n
+            done = fill(room, first, n, length, item, left)
+            left, item = left - done, item + done
     used = sorted((first, n, size - room) for room, groups in enumerate(by_room) for first, n in groups)
     return np.array(placed, np.int64).reshape(-1, 5), np.array(used, np.int64).reshape(-1, 3)
 
@@ -118,7 +112,7 @@ def _pieces(tokenizer: str, end: int, size: int, slack: int):
         coder, part = worker_tokenizer(tokenizer, end), TaskContext.get().partitionId()
         docs, piece, length, crc = [], [], [], []
         for batch in batches:
-            for rows, texts in slices(batch, "text"):
+            for rows, texts in slices(batch, "text", 1 << 20):
                 ids, n = coder.encode(texts)
                 view = memoryview(ids.astype("<u4").tobytes())
                 k = -(-n // size)
