@@ -50,7 +50,8 @@ def chunk_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """64-bit hashes (never 0) of all chunks of joined bytes at once, from running sums."""
     power, inverse = _powers(1 << max(20, len(data).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data * power[: len(data)], out=sums[1:])
+    np.multiply(data, power[: len(data)], out=sums[1:])
+    np.cumsum(sums, out=sums)
     begin, end = offsets[:-1], offsets[1:]
     return mix64((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
@@ -103,7 +104,7 @@ class HashIndex:
 
 
 class ChunkTokenizer:
-    def __init__(self, name: str = "word_bpe_49k.json", end: int = 2, most_chunks: int = 1_000_000, most_pieces: int = 600_000) -> None:
+    def __init__(self, name: str = "word_bpe_49k.json", end: int = 2, most_chunks: int = 500_000, most_pieces: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -115,10 +116,10 @@ class ChunkTokenizer:
     def _clear(self) -> None:
         self.index = HashIndex(max(8, (2 * self.most_chunks).bit_length()))
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.starts, self.lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         # the chunks themselves: words of eight bytes, where each begins, its bytes
         self.words, self.worded = np.zeros(1 << 16, np.uint64), 0
-        self.at, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.at, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.others: dict[bytes, int] = {}  # chunks whose hash belongs to another one
         self.known = 0
 
@@ -227,7 +228,7 @@ class ChunkTokenizer:
             self.others.update(zip(fresh, self._learn(fresh).tolist(), strict=True))
             which[differ] = [self.others[c] for c in own]
         chunks = np.diff(cut.offsets.to_numpy())
-        lengths = self.lengths[which]
+        lengths = self.lengths[which].astype(np.int64)
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         ids = np.full(total + len(texts), self.end, np.uint32)
