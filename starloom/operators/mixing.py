@@ -17,14 +17,29 @@ def state_differs(a: Column, b: Column) -> Column:
     return F.exists(F.zip_with(a, b, lambda x, y: differs(x, y)), lambda x: x)
 
 
-def with_change(rows: DataFrame, changed: Column | None = None) -> DataFrame:
+#: Rows of a chain that one task puts in order.
+BLOCK = 1 << 16
+
+
+def in_blocks(rows: DataFrame, reach: int, size: int = BLOCK) -> DataFrame:
+    """The rows by blocks of a chain, each led by copies of the `reach` rows before it, so that windows need not span a chain. Columns __block and __copy are added."""
+    size = max(size, reach)
+    own = rows.withColumn("__block", F.floor(F.col("row_idx") / size)).withColumn("__copy", F.lit(False))
+    ends = own.where(F.col("row_idx") % size >= size - reach).withColumn("__block", F.col("__block") + 1).withColumn("__copy", F.lit(True))
+    return own.unionAll(ends)
+
+
+def _marked(rows: DataFrame, changed: Column | None, reach: int, size: int) -> DataFrame:
+    before = Window.partitionBy("chain_pos", "__block").orderBy("row_idx")
+    what = F.col("state") if changed is None else changed
+    last = F.lag(what).over(before)
+    differ = state_differs(what, last) if changed is None else what != last
+    return in_blocks(rows, reach, size).withColumn("changed", F.when(last.isNotNull(), differ))
+
+
+def with_change(rows: DataFrame, changed: Column | None = None, size: int = BLOCK) -> DataFrame:
     """Adds `changed`: whether the row's state differs from the one before in its chain (null for the first)."""
-    before = Window.partitionBy("chain_pos").orderBy("row_idx")
-    if changed is None:
-        last = F.lag("state").over(before)
-        return rows.withColumn("changed", F.when(last.isNotNull(), state_differs(F.col("state"), last)))
-    last = F.lag(changed).over(before)
-    return rows.withColumn("changed", F.when(last.isNotNull(), changed != last))
+    return _marked(rows, changed, 1, size).where("not __copy").drop("__block", "__copy")
 
 
 def acceptance_rows(rows: DataFrame, changed: Column | None = None) -> DataFrame:
@@ -38,13 +53,13 @@ def acceptance_rate(chains: ChainSet, *, post_burn: int | None = None) -> np.nda
     return np.array([NAN if rates.get(t[0]) is None else rates[t[0]] for t in kept.table])
 
 
-def acceptance_trace_rows(rows: DataFrame, window: int = 30, changed: Column | None = None) -> DataFrame:
+def acceptance_trace_rows(rows: DataFrame, window: int = 30, changed: Column | None = None, size: int = BLOCK) -> DataFrame:
     """The rows with `rate`: changes among the last `window` transitions over window; null before there are so many."""
     if window < 1:
         raise ValueError(f"window must be 1 at least; got {window}")
-    recent = Window.partitionBy("chain_pos").orderBy("row_idx").rowsBetween(-(window - 1), 0)
-    marked = with_change(rows, changed)
-    return marked.withColumn("rate", F.when(F.col("row_idx") >= window, F.avg(F.col("changed").cast("double")).over(recent)))
+    recent = Window.partitionBy("chain_pos", "__block").orderBy("row_idx").rowsBetween(-(window - 1), 0)
+    rate = F.when(F.col("row_idx") >= window, F.avg(F.col("changed").cast("double")).over(recent))
+    return _marked(rows, changed, window, size).withColumn("rate", rate).where("not __copy").drop("__block", "__copy")
 
 
 def acceptance_rate_trace(chains: ChainSet, *, window: int = 30, post_burn: int = 0) -> DataFrame:

@@ -128,7 +128,12 @@ def read_chains(spark: SparkSession, config: MCMCConfig, cache: bool = True) ->
             raise ValueError(f"{path} names the parameters {names}, the configuration {list(config.parameter_names)}")
     steps = parse(raw.where((bare != "") & ~bare.startswith("#") & ~bare.startswith('"')), config.state_columns, len(config.parameters))
     position = F.create_map(*[x for uri, i in order.items() for x in (F.lit(re.sub("^file:/+", "/", uri)), F.lit(i))])
-    placed = steps.withColumn("chain_pos", F.element_at(position, F.col("path"))).withColumn("row_idx", F.row_number().over(Window.partitionBy("path").orderBy("block", "line")).cast("long") - 1)
+    placed = steps.withColumn("chain_pos", F.element_at(position, F.col("path")))
+    # numbered within each split, and the splits of a file by their counts
+    sizes = steps.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = sizes.select("path", "block", F.expr("coalesce(sum(n) over (partition by path order by block rows between unbounded preceding and 1 preceding), 0)").alias("before"))
+    inside = F.row_number().over(Window.partitionBy("path", "block").orderBy("line"))
+    placed = placed.join(before, ["path", "block"]).withColumn("row_idx", F.col("before") + inside.cast("long") - 1)
     rows = placed.select("chain_pos", "chain_index", "path", "row_idx", "step", "eval_time", "converged", "log_posterior", "log_likelihood", "state", "velocity")
     if cache:
         rows = rows.cache()

@@ -294,3 +294,30 @@ def test_autocorrelation_time_query_of_slow_chains(spark, tmp_path):
     window = int(np.flatnonzero(np.arange(len(tau)) >= 5 * tau)[0])
     got = {r["param_idx"]: r["tau"] for r in queries.QUERIES["autocorr_time"](spark, str(tmp_path)).collect()}
     assert window > 200 and got[0] == pytest.approx(tau[window], abs=1e-4)
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1 << 16])
+def test_changes_do_not_depend_on_blocks(spark, size):
+    rng = np.random.default_rng(11)
+    states = {c: rng.integers(0, 3, n).astype(float) for c, n in ((0, 40), (1, 7), (2, 1))}
+    rows = spark.createDataFrame([(c, c, i, [x, 1.0]) for c, v in states.items() for i, x in enumerate(v.tolist())], "chain_pos int, chain_index long, row_idx long, state array<double>")
+    got = {(r["chain_pos"], r["row_idx"]): r["changed"] for r in mixing.with_change(rows, size=size).collect()}
+    assert got == {(c, i): None if not i else bool(v[i] != v[i - 1]) for c, v in states.items() for i in range(len(v))}
+    rates = {(r["chain_pos"], r["row_idx"]): r["rate"] for r in mixing.acceptance_trace_rows(rows, 5, size=size).collect()}
+    for (c, i), rate in rates.items():
+        want = None if i < 5 else np.mean(states[c][i - 4 : i + 1] != states[c][i - 5 : i])
+        assert rate is None if want is None else rate == pytest.approx(want)
+    assert len(rates) == 48
+
+
+def test_rows_are_numbered_over_splits(spark, tmp_path):
+    lines = "".join(f"{k + 1} 3 0.1 T -1.0 -2.0 {k}.5\n" for k in range(400))
+    (tmp_path / "log_0000.log").write_text("# head\n" + lines)
+    config = MCMCConfig(tmp_path / "c.xml", tmp_path / "log", "differentialEvolution", (ModelParameter("a"),))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        rows = source.read_chains(spark, config, cache=False).rows.select("row_idx", "step").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["row_idx"], r["step"]) for r in rows) == [(k, k + 1) for k in range(400)]
