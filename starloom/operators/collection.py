@@ -226,10 +226,16 @@ class Dataset:
     def read(self, where: Column | str | Sequence | None = None) -> DataFrame:
         return select_rows(self.rows(), where)
 
+    @functools.cached_property
+    def _first(self) -> tuple[DataFrame, int]:
+        """The first file's rows, by a scan of that file alone, and their number."""
+        c = self.collection
+        rows = (c if len(c.files) == 1 else Collection(c.spark, c.files[:1], c.output_root)).output(self.output).select(*PLACE, F.col(f"`{self.column}`").alias("value"))
+        return rows, rows.count()
+
     def __getitem__(self, selection: slice | int | Sequence) -> DataFrame:
         """Rows of the first file only, selected as from an array: by slice, number, numbers or mask. `position` is the place in the selection."""
-        first = self.rows().where("file_ord = 0")
-        n = first.count()
+        first, n = self._first
         row = F.col("row_in_file")
         if isinstance(selection, slice):
             asked = range(*selection.indices(n))

@@ -12,6 +12,7 @@ from starloom.operators import analyses as an
 from starloom.operators import star_formation
 from starloom.operators.outputs import index_outputs
 from starloom.operators.tables import make_table
+from starloom.plans import adapters
 from starloom.sources import discovery, store
 
 OUTPUTS = "name string, time double, scale_factor double, output_type string"
@@ -219,3 +220,28 @@ def test_colliding_labels_and_missing_columns(spark, files, tmp_path):
         starloom.open_models(spark, [files[0], files[0]])
     assert starloom.open_models(spark, {"a": files[0]}).nodes().select("model").distinct().first()[0] == "a"
     assert starloom.open_outputs(spark, files[0]).output(1).agg(F.count("*")).first()[0] == 2
+
+
+def test_slices_read_the_first_file_alone(spark, files):
+    d = starloom.open_outputs(spark, list(files))["Outputs/Output1/nodeData/basicMass"]
+    for key in (slice(None, -1), [1, 0], 0):
+        assert {f.split("/nodes/")[0].rsplit("/", 1)[1] for f in d[key].inputFiles()} == {"g.store"}
+
+
+def test_line_items_are_numbered_by_blocks_of_orders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(adapters, "BLOCK", 10, raising=False)
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    keys = [None, None, *range(0, 95, 3), -7, -40]
+    rows = [(k, n, 1, 1, float(n), 1.0, 0.0, 0.0, "A", status, None) for status in ("O", "F", None) for k in keys for n in (2, 1)]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    nodes = adapters.part_nodes(spark, str(tmp_path))
+    got = {}
+    for r in nodes.orderBy("row_in_file").collect():
+        got.setdefault((r["l_linestatus"], r["file_ord"]), []).append((r["row_in_file"], r["l_orderkey"], r["l_linenumber"]))
+    want = sorted(((k, n) for k in keys for n in (1, 2)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    order = [(i, *x) for i, x in enumerate(want)]
+    assert set(got) == {("O", 1), ("F", 0), (None, None)}
+    for own in got.values():  # rows of null keys, first of all, tie
+        assert [x[:2] for x in own] == [x[:2] for x in order] and own[4:] == order[4:]
+    windows = [line for line in nodes._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in line and "Window" in line]
+    assert windows and all("block#" in line for line in windows)  # no task numbers a whole file
