@@ -178,6 +178,45 @@ def test_quality_verdict_on_labelled_junk_at_two_sizes(spark, stored, n):
     assert stayed <= 0.05 * n / 8 and lost <= 0.05 * n
 
 
+def test_quality_learns_from_all_labelled_documents(spark, make):
+    """The ratio counts every trusted document; the threshold is that of all labelled ones, the trusted scored without themselves."""
+    rng = random.Random(21)
+    texts = [prose(rng, rng.randrange(12, 60), 400 if i % 3 else 40) for i in range(60)] + [prose(rng, 3), prose(rng, 10, 2) * 4, None]
+    quality_of = {i: int(i % 3 == 0) for i in range(len(texts)) if i % 4 != 1}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in quality_of.items()] + [(3, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    trusted = [quality_of.get(i) == 1 for i in range(len(texts))]
+    passed = [i for i in quality_of if not brute_base(texts[i])[-1]]
+    alone = lambda i: brute_ratio(texts, [t and j != i for j, t in enumerate(trusted)], quality.LEAST_BUCKETS, 0.25)(texts[i])
+    score = {i: alone(i) for i in passed}
+    good, junk = ([score[i] for i in passed if quality_of[i] == q] for q in (1, 0))
+    values = sorted(set(good + junk))
+    cuts = [values[0], *((a + b) / 2 for a, b in zip(values, values[1:], strict=False))]
+    gain = lambda c: sum(x >= c for x in good) * len(junk) + sum(x < c for x in junk) * len(good)
+    want = max(cuts, key=lambda c: (gain(c), -c))
+    for most in (2_000_000, 0):
+        ratio, threshold = quality.learn(make(texts), labels, most_broadcast_ids=most)
+        assert np.array_equal(ratio, quality.fit(make(texts), labels, len(ratio)).astype(np.float32))
+        assert threshold == pytest.approx(want, abs=1e-6)
+    one = quality.learn(make(texts), labels.where("doc_id = 0"))
+    assert one[0].any() and one[1] == 0  # its score without itself
+
+
+def test_quality_cut_over_ranges_of_scores(spark):
+    rng = np.random.default_rng(5)
+    for good_n, junk_n, places in ((900, 700, 2), (900, 700, 1), (40, 3, 1), (5, 0, 3), (1, 0, 3), (700, 0, 2), (0, 9, 2), (0, 0, 1), (3, 3, 0)):
+        good, junk = np.round(rng.normal(0.5, 1, good_n), places), np.round(rng.normal(-0.5, 1, junk_n), places)
+        got = quality.best_cut(spark.createDataFrame([(True, float(x)) for x in good] + [(False, float(x)) for x in junk], "trusted boolean, score double").repartition(5))
+        if not good_n:
+            assert got == -np.inf
+        elif not junk_n:
+            assert got == pytest.approx(np.quantile(good, 0.01), abs=1e-12)
+        else:
+            values = np.unique(np.concatenate([good, junk]))
+            cuts = [values[0], *((values[1:] + values[:-1]) / 2)]
+            want = max(cuts, key=lambda c: (int((good >= c).sum()) * junk_n + int((junk < c).sum()) * good_n, -c))
+            assert got == want
+
+
 # ---- licences
 
 
