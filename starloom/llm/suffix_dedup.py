@@ -8,8 +8,8 @@ string crosses documents; strings are judged on the input.
    windows that one gram represents); those met twice are kept as sorted arrays in the shared folder. All other windows
    are unique: nothing is lost by leaving them out.
 2. A representative of more than `heavy` runs (a short line in a third of all documents, say) would fill one shard.
-   Its windows are represented anew by longer grams, counted in a scan of their own, and where these are heavy too by all
-   of their bytes: equal windows still meet, and nothing heavy is left but copies of one window.
+   Its windows are cut out by a scan of their own and represented anew by longer grams, and where these are heavy too by all
+   of their bytes (each time among what was cut out): equal windows still meet, and nothing heavy is left but copies of one window.
 3. Another scan cuts out, for each run of windows with a repeated representative, the run's bytes, and deals
    them by the representative into shards of about `shard_bytes`. Equal strings always meet in one shard. Runs of
    equal bytes are collapsed to their earliest in each task and again in the shard, so that a passage which a
@@ -90,36 +90,54 @@ class Windows:
             edge = np.zeros(len(self.inside) + 1, np.int8)
             edge[self.begins[self.long]] += 1
             np.add.at(edge, self.begins[self.long] + sizes[self.long] - length + 1, -1)
-            self.inside = np.cumsum(edge[:-1]) > 0
+            self.inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
         self.wanted = self.inside
 
+    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where wanted windows stand one after the other: the first one's place, and their number. Each stretch lies in one text, as windows of two texts never touch."""
+        change = np.flatnonzero(np.diff(self.wanted, prepend=False, append=False))
+        return change[::2], change[1::2] - change[::2]
+
     def runs(self, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each run of wanted windows that the same gram represents: the text, first window, last window + 1 (places in the joined text), representative."""
         none = np.zeros(0, np.int64)
         if not self.wanted.any():
             return none, none, none, none.astype(np.uint64)
-        low, hashes = representatives(self.data, self.length, gram)
-        new = self.wanted & np.concatenate([[True], (low[1:] != low[:-1]) | ~self.wanted[:-1]])
-        at = self.begins[self.long]
-        new[at] = self.wanted[at]
+        begin, n = self.stretches()
+        sizes = n + self.length - 1
+        if 4 * sizes.sum() < 3 * len(self.data):  # only the bytes of wanted windows, joined
+            to = np.cumsum(sizes) - sizes
+            data = self.data[np.arange(sizes.sum()) + np.repeat(begin - to, sizes)]
+        else:
+            to, data = begin, self.data
+        low, hashes = representatives(data, self.length, gram)
+        at = np.arange(n.sum()) + np.repeat(to - np.cumsum(n) + n, n)
+        low = low[at]
+        new = np.concatenate([[True], low[1:] != low[:-1]])
+        new[np.cumsum(n) - n] = True
         first = np.flatnonzero(new)
-        stops = np.append(np.flatnonzero(new | ~self.wanted), len(low))
-        last = stops[np.searchsorted(stops, first, "right")]
-        return self.long[np.searchsorted(at, first, "right") - 1], first, last, hashes[low[first]]
+        keys = hashes[low[first]]
+        stretch = np.searchsorted(np.cumsum(n), first, "right")
+        place = at[first] + (begin - to)[stretch]
+        last = place + np.diff(first, append=len(low))
+        return self.long[np.searchsorted(self.begins[self.long], place, "right") - 1], place, last, keys
 
     def only(self, first: np.ndarray, last: np.ndarray) -> None:
         """From now on only the windows of these runs are wanted."""
-        edge = np.zeros(len(self.wanted) + 1, np.int64)
+        edge = np.zeros(len(self.wanted) + 1, np.int8)  # runs do not overlap
         edge[first] += 1
-        np.add.at(edge, last, -1)
-        self.wanted = np.cumsum(edge[:-1]) > 0
+        edge[last] -= 1
+        self.wanted = np.cumsum(edge[:-1], dtype=np.int8) > 0
+
 
+def _texts(texts: list[bytes | None], column: str) -> list[bytes | None]:
+    return texts if column == "text" else [x for t in texts for x in t.split(bytes([BREAK]))]
 
-def _counter(length: int, grams: tuple[int, ...], folder: str, key_shards: int, flush: int = 1_000_000):
-    """Counts the representatives by the last of the grams, of windows whose others are heavy."""
+
+def _counter(length: int, gram: int, column: str, key_shards: int, flush: int = 1_000_000):
+    """Counts the representatives of all windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = [Lookup(folder, f"heavy{k}", key_shards) for k in range(len(grams) - 1)]
         held: list[np.ndarray] = []
         size = 0
 
@@ -132,13 +150,8 @@ def _counter(length: int, grams: tuple[int, ...], folder: str, key_shards: int,
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), cut(pack(keys, 8), 8 * cuts), cut(np.minimum(n, 65535).astype("<u2").tobytes(), 2 * cuts)], ["shard", "keys", "n"])
 
         for batch in batches:
-            for _, texts in slices(batch, "text", 512 << 10):
-                windows = Windows(texts, length)
-                for k, gram in enumerate(grams):
-                    _, first, last, keys = windows.runs(gram)
-                    if k < len(heavy):
-                        more = heavy[k].has(keys)
-                        windows.only(first[more], last[more])
+            for _, texts in slices(batch, column, 512 << 10):
+                keys = Windows(_texts(texts, column), length).runs(gram)[3]
                 held.append(keys)
                 size += len(keys)
                 if size >= flush:
@@ -150,6 +163,28 @@ def _counter(length: int, grams: tuple[int, ...], folder: str, key_shards: int,
     return run
 
 
+def _heavy(length: int, gram: int, level: int, column: str, folder: str, key_shards: int, most: int = 64 << 10):
+    """The stretches of windows with a heavy representative, each ended by BREAK, some in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = Lookup(folder, f"heavy{level}", key_shards)
+        for batch in batches:
+            for _, texts in slices(batch, column, 512 << 10):
+                windows = Windows(_texts(texts, column), length)
+                _, first, last, keys = windows.runs(gram)
+                more = heavy.has(keys)
+                if not more.any():
+                    continue
+                windows.only(first[more], last[more])
+                begin, n = windows.stretches()
+                ends = np.cumsum(n + length)
+                cuts = [0, *(np.flatnonzero(ends[1:] // most > ends[:-1] // most) + 1).tolist(), len(n)]
+                pieces = [windows.raw[i:j] for i, j in zip(begin.tolist(), (begin + n + length - 1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([bytes([BREAK]).join(pieces[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["stretches"])
+
+    return run
+
+
 def _repeated(folder: str, level: int, heavy: int):
     def run(key: tuple[int, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = [], []
@@ -260,6 +295,8 @@ def _cutter(length: int, grams: tuple[int, ...], folder: str, key_shards: int, s
                             size += j - i
                         else:
                             later += 1
+                    if not more.any():
+                        break
                     windows.only(first[more], last[more])
                 if size >= flush or later > 500_000:
                     yield from out()
@@ -397,15 +434,20 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, shard_byt
     folder = scratch(spark, "repeated-grams")
     levels = (gram, (gram + length) // 2, length)
     size = used = 0
+    source, column, stretches = rows.select("text"), "text", []
     for used in range(1, len(levels) + 1):
         last = used == len(levels)  # by all bytes of a window: what is met often now is one window, and collapses
-        counted = by_shard(rows.select("text").mapInArrow(lean(_counter(length, levels[:used], folder, key_shards)), COUNTED), key_shards, _repeated(folder, used - 1, 1 << 62 if last else heavy), "runs long, heavy_runs long, heavies long", "shard")
+        counted = by_shard(source.mapInArrow(lean(_counter(length, levels[used - 1], column, key_shards)), COUNTED), key_shards, _repeated(folder, used - 1, 1 << 62 if last else heavy), "runs long, heavy_runs long, heavies long", "shard")
         n = counted.agg(F.sum("runs").alias("runs"), F.sum("heavies").alias("heavies")).first()
         size += (n["runs"] or 0) * (length + (length - levels[used - 1]) // 2)
         del counted
         release(spark)
         if not n["heavies"]:
             break
+        stretches.append(scratch(spark, "heavy-windows"))
+        source = kept(source.mapInArrow(lean(_heavy(length, levels[used - 1], used - 1, column, folder, key_shards)), "stretches binary"), stretches[-1])
+        column = "stretches"
+    discard(spark, *stretches)
     shards = max(1, math.ceil(size / shard_bytes))
     cut_out = rows.mapInArrow(lean(_cutter(length, levels[:used], folder, key_shards, shards)), RUNS)
     spans_at = scratch(spark, "spans")

@@ -12,6 +12,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -212,6 +213,35 @@ def test_a_line_in_many_texts_is_dealt_to_many_shards():
     assert np.unique(windows.runs(62)[3], return_counts=True)[1].max() <= 3
 
 
+def test_longer_grams_are_sought_in_heavy_windows_alone(monkeypatch, tmp_path):
+    """Of 200 long texts a short line is heavy: what comes after the first count hashes the bytes around it, and finds what a look at all bytes finds."""
+    rng = random.Random(11)
+    line = b"a line of forty bytes or so, the same one"
+    texts = [b"", *(prose(rng, 300, 10**6).encode() + line + prose(rng, 300, 10**6).encode() for _ in range(200)), b"short"]
+    seen, whole = [], suffix_dedup.representatives
+    monkeypatch.setattr(suffix_dedup, "representatives", lambda data, *sizes: (seen.append(len(data)), whole(data, *sizes))[1])
+    windows = suffix_dedup.Windows(texts, 100)
+    owner, first, last, keys = windows.runs(24)
+    value, n = np.unique(keys, return_counts=True)
+    hot = np.isin(keys, value[n >= 100])
+    windows.only(first[hot], last[hot])
+    got = windows.runs(62)
+    assert seen[0] == len(windows.data) and seen[1] < 0.1 * seen[0]
+    low, hashes = whole(windows.data, 100, 62)
+    at = np.flatnonzero(windows.wanted)
+    new = np.concatenate([[True], (low[at[1:]] != low[at[:-1]]) | (at[1:] != at[:-1] + 1)])
+    assert got[1].tolist() == at[new].tolist() and got[3].tolist() == hashes[low[at[new]]].tolist()
+    assert got[2].tolist() == (np.append(at[np.flatnonzero(new)[1:] - 1], at[-1]) + 1).tolist()
+    assert got[0].tolist() == (np.searchsorted(windows.begins, at[new], "right") - 1).tolist()
+    # the same windows, cut out and counted apart from their texts
+    suffix_dedup.save(str(tmp_path), "heavy0.0.key", value[n >= 100].astype("<u8"))
+    cut = list(suffix_dedup._heavy(100, 24, 0, "text", str(tmp_path), 1, 2000)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+    assert sum(b.num_rows for b in cut) > 5
+    counts = list(suffix_dedup._counter(100, 62, "stretches", 1)(iter(cut)))
+    keys, n = (np.concatenate([np.frombuffer(x, kind) for b in counts for x in b.column(c).to_pylist()]) for c, kind in (("keys", "<u8"), ("n", "<u2")))
+    assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == dict(Counter(got[3].tolist()))
+
+
 def test_spans_that_touch_are_one():
     spans = np.array([[1, 7, 5, 9], [1, 7, 0, 5], [1, 7, 2, 3], [1, 7, 10, 12], [1, 8, 0, 1], [0, 7, 3, 4]])
     assert suffix_dedup.united(spans).tolist() == [[0, 7, 3, 4], [1, 7, 0, 9], [1, 7, 10, 12], [1, 8, 0, 1]]
